@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .decontamination import SQL as _DECONTAMINATION_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,42 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests, format_windows
+    from .storage import written
+
+    hard = "\\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(written(format_windows(turns.unionByName(added)), "chat-windows"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items").withColumnRenamed("id", "doc_id")
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"), keep=("url",)).withColumnRenamed("id", "page_id")
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files,
+    "op6_chat_windows": chat_windows,
+    "op7_decontamination": decontamination,
+    "op9_html_text": html_text,
+    "op10_best_fit_packing": best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": _DECONTAMINATION_SQL,
+}

@@ -37,7 +37,7 @@ def write_token_files(
     path = path or new_path(spark, "token-files")
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(*([parts] if parts else []), "id", "text").sortWithinPartitions("id", "text")
+    rows = rows.repartitionByRange(*([parts] if parts else []), "id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,7 +119,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     listed = files.withColumn("base", F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    listed = listed.select("path", "index_path", F.coalesce("base", F.lit(0)).alias("base")).repartition("path")
+    listed = listed.select("path", "index_path", F.coalesce("base", F.lit(0)).alias("base")).repartition(max(1, files.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
