@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import SQL as _DECONTAMINATION_SQL
 
@@ -19,6 +20,28 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def _remainder(column: str, by: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % by
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    model = learn(docs, _remainder("doc_id", 5) != 0)
+    return identify(docs, model, keep=(held_out.alias("held_out"),)).withColumnRenamed("id", "doc_id")
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    model = learn(docs, labels, _remainder("doc_id", 4) != 2)
+    return score(docs, model, keep=(held_out.alias("held_out"),)).withColumnRenamed("id", "doc_id")
+
+
 def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_windows
     from .storage import written
@@ -48,7 +71,9 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": language,
     "op3_token_files": token_files,
+    "op5_toxicity": toxicity,
     "op6_chat_windows": chat_windows,
     "op7_decontamination": decontamination,
     "op9_html_text": html_text,
