@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import SQL as _DECONTAMINATION_SQL
+from .vectors import SQL as _NEAR_VECTORS_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=(held_out.alias("held_out"),)).withColumnRenamed("id", "doc_id")
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors as operator
+
+    return operator(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learn, score
 
@@ -73,6 +80,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language,
     "op3_token_files": token_files,
+    "op4_near_vectors": near_vectors,
     "op5_toxicity": toxicity,
     "op6_chat_windows": chat_windows,
     "op7_decontamination": decontamination,
@@ -81,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_vectors": _NEAR_VECTORS_SQL,
     "op7_decontamination": _DECONTAMINATION_SQL,
 }
