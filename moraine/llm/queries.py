@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import SQL as _DECONTAMINATION_SQL
+from .jaccard import SQL as _JACCARD_SQL
 from .vectors import SQL as _NEAR_VECTORS_SQL
 
 
@@ -21,6 +22,12 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % by
 
@@ -78,6 +85,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join,
     "op2_language": language,
     "op3_token_files": token_files,
     "op4_near_vectors": near_vectors,
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": _JACCARD_SQL,
     "op4_near_vectors": _NEAR_VECTORS_SQL,
     "op7_decontamination": _DECONTAMINATION_SQL,
 }
