@@ -72,6 +72,12 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items").withColumnRenamed("id", "doc_id")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity,
     "op6_chat_windows": chat_windows,
     "op7_decontamination": decontamination,
+    "op8_line_dedup": line_dedup,
     "op9_html_text": html_text,
     "op10_best_fit_packing": best_fit_packing,
 }
