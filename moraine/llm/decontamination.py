@@ -70,7 +70,7 @@ def contamination(
     is looked up whole.  Words are compared by 64-bit hashes of the whole word.
 
     Returns one row for each row of ``docs``: ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted text ids),
-    ``items_sha256``, ``contaminated``.  Null and empty texts have no words; items without words never occur; items with
+    ``items_sha256``, ``contaminated`` and ``text_md5`` (of a null text as of an empty one).  Null and empty texts have no words; items without words never occur; items with
     equal ids count once, a null id as ``null``; repeated rows of ``docs`` each keep a row.  No items, or no documents, give
     no hits, or no rows.  Other columns are ignored.
 
@@ -111,11 +111,19 @@ def contamination(
     places = F.array_distinct(F.flatten(F.flatten(F.transform("spans", lambda s: F.transform(s["starts"], lambda a: F.sequence(a, a + s["width"] - 1))))))
     return (
         found.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("id", F.col("n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+        .select("id", F.col("n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.col("sum").alias("text_md5"))
         .withColumn("contaminated", F.col("n_hit") > 0)
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, with no word in an occurrence of an item's window."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col, **options)
+    bad = found.where("contaminated").select(F.col("id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_md5")), "left_anti")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,

@@ -52,6 +52,8 @@ def _digests(flat: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
 
 
 def _sketches(rows: DataFrame, plan: Plan, shingle: int, id_type: str) -> DataFrame:
+    """Id, text hash, digest of the shingle set, its size and its min-hashes, for every row."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -59,10 +61,10 @@ def _sketches(rows: DataFrame, plan: Plan, shingle: int, id_type: str) -> DataFr
                 flat, counts = shingle_sets(part.column("text"), shingle)
                 low = min_hashes(flat, counts, plan.coordinates, plan.seed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(_digests(flat, counts), pa.binary()), pa.array(counts), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "rep", "size", "sketch"]
+                    [part.column("id"), part.column("mark"), pa.array(_digests(flat, counts), pa.binary()), pa.array(counts), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "mark", "rep", "size", "sketch"]
                 )
 
-    return rows.mapInArrow(sketch, f"id {id_type}, rep binary, size long, sketch binary")
+    return rows.mapInArrow(sketch, f"id {id_type}, mark long, rep binary, size long, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -218,7 +220,8 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Words are runs of ASCII letters and digits and of any other characters, A-Z as a-z; a text of fewer words than
     ``shingle`` is one shingle.  Returns one row for each row of ``docs``: ``id``, ``class_id`` (smallest id in the connected
-    component of links, its own included), ``n_links`` (other rows directly linked, equal texts too) and ``kept``.
+    component of links, its own included), ``n_links`` (other rows directly linked, equal texts too), ``kept`` and ``mark``
+    (``xxhash64`` of the text, null for a null text), which tells rows of equal ids apart.
 
     Equal sets are taken once, with their number.  Candidate clusters come from the chosen-path recursion (``candidates``),
     whose runs reach ``recall`` for a pair at the threshold and more for nearer ones; within a cluster every pair is then
@@ -231,7 +234,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     plan = Plan.of(threshold, recall)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = written(_sketches(rows, plan, shingle, id_type), "sketches")
+    table = written(_sketches(rows.withColumn("mark", F.when(F.col("text").isNotNull(), F.xxhash64("text"))), plan, shingle, id_type), "sketches")
     distinct = written(table.where(F.col("rep").isNotNull()).groupBy("rep", "size", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")), "distinct-sets")
     clusters = components(candidates(distinct, plan), "candidate-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     needed = distinct.select("rep", "n", "low", "size").join(clusters, "rep")
@@ -257,8 +260,22 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = written(labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), "low"), "jaccard-classes")
     lows = labelled.groupBy("component").agg(F.min("low").alias("class_id"))
     classes = labelled.join(lows, "component").select("rep", "links", "class_id")
-    out = table.select("id", "rep").join(classes, "rep", "left")
-    return out.select("id", F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)))
+    out = table.select("id", "mark", "rep").join(classes, "rep", "left")
+    return out.select("id", "mark", F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one document of each class stays: the one with the smallest id.
+
+    Rows equal in id and text are one document.  Documents with null ids stay unless their class has a member with an id.
+    """
+    verdicts = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options)
+    stays = F.col("kept") | (F.col("id").isNull() & F.col("class_id").isNull())
+    chosen = verdicts.where(stays).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count(F.lit(1)).alias("_copies"))
+    mark = F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col).cast("string")))
+    joined = docs.withColumn("_own", mark).join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_mark")))
+    once = joined.where("_copies = 1").select(*docs.columns)
+    return once.unionByName(joined.where("_copies > 1").select(*docs.columns).dropDuplicates([id_col, text_col]))
 
 
 SQL = r"""

@@ -25,7 +25,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_classes
 
-    return jaccard_classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("mark").withColumnRenamed("id", "doc_id")
 
 
 def _remainder(column: str, by: int) -> Column:
@@ -69,7 +69,7 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items").withColumnRenamed("id", "doc_id")
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "text_md5").withColumnRenamed("id", "doc_id")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
