@@ -16,22 +16,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     round is an aggregation and a join, its table is written to the shared folder; a round's stars move every label to the
     smallest neighbour, so the number of rounds grows with the logarithm of the longest path.
     """
-    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, name)
+    scratch = Scratch(edges.sparkSession, name)
     now = scratch.put(_ordered(edges))
-    state = _state(now)
     for _ in range(rounds):
-        if not state[0]:
+        if _stars(now):
             break
         now = scratch.put(_small_star(_large_star(now)))
-        after = _state(now)
         scratch.keep_last()
-        if after == state:
-            break
-        state = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     low = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(low).groupBy("node").agg(F.min("component").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(low.distinct())
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -39,15 +34,19 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre or has one centre: then the centres are the components."""
+    ends = edges.select("u", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    own = ends.groupBy("u").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not own.where((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("high") > 0))).limit(1).count()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the node's smallest neighbour (or the node itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-    return _ordered(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("low"))
+    moved = both.join(low, "u").where(F.col("v") > F.col("u"))
+    return moved.select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

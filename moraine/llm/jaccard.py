@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +100,9 @@ def _children(rows: DataFrame, plan: Plan) -> DataFrame:
                 run = spot // 64
                 value = sketch[np.arange(len(node)), order[run, place % plan.coordinates]].astype(np.uint64)
                 inner = mixed(node + mixed(value + (place.astype(np.uint64) << np.uint64(33))))
-                yield pa.RecordBatch.from_arrays([pa.array(inner.view(np.int64)), batch.column("rep"), pa.array((run * 64 + place).astype(np.int32)), batch.column("rows")], ["node", "rep", "spot", "parent_rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(inner.view(np.int64)), batch.column("rep"), pa.array((run * 64 + place).astype(np.int32)), batch.column("sketch"), batch.column("rows")], ["node", "rep", "spot", "sketch", "parent_rows"])
 
-    return rows.mapInArrow(split, "node long, rep binary, spot int, parent_rows long")
+    return rows.select("node", "rep", "spot", "sketch", "rows").mapInArrow(split, "node long, rep binary, spot int, sketch binary, parent_rows long")
 
 
 def _small_buckets(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -136,28 +137,25 @@ def candidates(distinct: DataFrame, plan: Plan) -> DataFrame:
     are near each other, so all go to one cluster without comparing.  Only (bucket, set) rows move until a bucket is ready;
     buckets of single sets end at once and equal buckets of several runs are handled once.
     """
-    scratch, spark = Scratch(distinct.sparkSession, "buckets"), distinct.sparkSession
+    scratch = Scratch(distinct.sparkSession, "buckets")
     level = scratch.put(_roots(distinct, plan).withColumn("parent_rows", F.lit(None).cast("long")))
-    ready = None
+    ready = []
     for depth in range(1, plan.depth + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.max("parent_rows").alias("parent")).where("rows > 1")
         dense = F.lit(depth == plan.depth) | F.coalesce(F.col("rows") >= 0.7 * F.col("parent"), F.lit(False))
-        kind = F.when(F.col("rows") <= plan.small, "small").when(dense, "dense").otherwise("large")
-        sizes = sizes.withColumn("kind", kind)
-        first = sizes.where("kind <> 'large'").groupBy("rows", "who", "kind").agg(F.min("node").alias("node")).select("node", "kind", "rows")
-        named = scratch.put(first.unionByName(sizes.where("kind = 'large'").select("node", "kind", "rows")))
-        rows = level.select("node", "rep", "spot").join(named, "node")
-        part = rows.where("kind <> 'large'").select("node", "rep", "kind")
-        ready = part if ready is None else ready.unionByName(part)
+        sizes = sizes.withColumn("kind", F.when(F.col("rows") <= plan.small, "small").when(dense, "dense").otherwise("large"))
+        # buckets of equal sets, ready ones once; large ones, with their number as a part of the key, all
+        alone = F.when(F.col("kind") == "large", F.col("node"))
+        named = sizes.groupBy("rows", "who", "kind", alone.alias("alone")).agg(F.min("node").alias("node")).select("node", "kind", "rows")
+        rows = scratch.put(level.drop("parent_rows").join(named, "node"))
+        ready.append(rows.where("kind <> 'large'").select("node", "rep", "kind"))
         large = rows.where("kind = 'large'")
-        if depth == plan.depth or named.where("kind = 'large'").limit(1).count() == 0:
+        if depth == plan.depth or not large.limit(1).count():
             break
-        level = scratch.put(_children(large.join(distinct.select("rep", "sketch"), "rep").select("node", "rep", "spot", "rows", "sketch"), plan))
-    ready = written(ready, "ready-buckets")
-    for path in scratch.paths:
-        from .storage import drop_path
-
-        drop_path(spark, path)
+        if "sketch" not in large.columns:
+            large = large.join(distinct.select("rep", "sketch"), "rep")
+        level = scratch.put(_children(large, plan))
+    ready = reduce(DataFrame.unionByName, ready)
     heart = ready.where("kind = 'dense'").groupBy("node").agg(F.min("rep").alias("v"))
     crowded = ready.where("kind = 'dense'").join(heart, "node").select(F.col("rep").alias("u"), "v")
     small = ready.where("kind = 'small'").select("node", "rep").join(distinct.select("rep", "size", "sketch"), "rep")
