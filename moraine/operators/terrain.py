@@ -181,7 +181,7 @@ def suppressed(sites: DataFrame, by: str = "efficiency", top: int = 12, least_km
                 break
         return pdf.iloc[kept]
 
-    return first.groupBy(F.lit(1)).applyInPandas(lambda pdf: take(pdf), first.schema)
+    return first.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda pdf: take(pdf.drop(columns="_one")), first.schema)
 
 
 def site_rank(sites: DataFrame, by: str = "efficiency") -> DataFrame:
