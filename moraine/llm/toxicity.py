@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,21 +41,44 @@ def pattern_hits(texts: pa.Array) -> np.ndarray:
     return np.stack([pc.match_substring_regex(filled, p).to_numpy(zero_copy_only=False) for p in PATTERNS.values()], 1)
 
 
-def mine(present: list[set[str]], toxic: np.ndarray, *, most: int = 2000, least_docs: int = 2) -> list[str]:
+class Present:
+    """Which features each text holds, by numbers: texts as distinct words, words as features."""
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, vocabulary: list[str]):
+        self.words, self.offsets, place = words, offsets, {}
+        own = array.array("i")
+        lengths = np.empty(len(vocabulary), np.int64)
+        seen = np.bincount(words, minlength=len(vocabulary))
+        for i, w in enumerate(vocabulary):
+            found = word_features(w)[int(seen[i] < 2) :]  # a word of one text is no feature, its beginnings may be
+            lengths[i] = len(found)
+            own.extend([place.setdefault(f, len(place)) for f in found])
+        self.names, self.features = list(place), np.frombuffer(own, np.int32) if len(own) else np.empty(0, np.int32)
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+
+    def pairs(self, step: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, feature), each once, for ``step`` texts at a time."""
+        for low in range(0, len(self.offsets) - 1, step):
+            high = min(low + step, len(self.offsets) - 1)
+            word = self.words[self.offsets[low] : self.offsets[high]]
+            text = np.repeat(np.arange(high - low), np.diff(self.offsets[low : high + 1]))
+            n = self.lengths[word]
+            at = np.repeat(self.starts[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.unique(np.repeat(text, n) * len(self.names) + self.features[at]) if len(at) else np.empty(0, np.int64)
+            yield low + both // max(len(self.names), 1), both % max(len(self.names), 1)
+
+
+def mine(present: Present, toxic: np.ndarray, *, most: int = 2000, least_docs: int = 2) -> np.ndarray:
     """Features far more frequent in toxic texts, strongest first: by the lower end of their log odds."""
-    counts: dict[str, list[int]] = {}
-    for features, y in zip(present, toxic, strict=True):
-        for f in features:
-            counts.setdefault(f, [0, 0])[int(y)] += 1
+    pos, neg = np.zeros(len(present.names)), np.zeros(len(present.names))
+    for text, feature in present.pairs():
+        pos += np.bincount(feature[toxic[text]], minlength=len(pos))
+        neg += np.bincount(feature[~toxic[text]], minlength=len(neg))
     n1, n0 = int(toxic.sum()), len(toxic) - int(toxic.sum())
-    scored = []
-    for f, (neg, pos) in counts.items():
-        if pos >= least_docs:
-            odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((neg + 0.5) / (n0 - neg + 0.5))
-            error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-            if odds - 1.0 * error > 1.0:
-                scored.append((odds - error, f))
-    return [f for _, f in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]]
+    odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((neg + 0.5) / (n0 - neg + 0.5))
+    low = odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    good = np.flatnonzero((pos >= least_docs) & (low > 1.0))
+    return np.array(sorted(good, key=lambda i: (-round(low[i], 9), present.names[i]))[:most], np.int64)
 
 
 def label_model(votes: np.ndarray, trusted: np.ndarray, *, rounds: int = 10, least_correlation: float = 0.3) -> tuple[np.ndarray, dict]:
@@ -102,26 +126,29 @@ def logistic(x: np.ndarray, target: np.ndarray, *, penalty: float = 0.004, round
     return w[:-1], float(w[-1])
 
 
-def fit(word_lists: list[list[str]], patterns: np.ndarray, toxic: np.ndarray, *, voters: int = 200, features: int = 600) -> Model:
-    """Mine lexicons, run the label model over the voters, train the classifier on its posteriors."""
+def fit(words: np.ndarray, offsets: np.ndarray, vocabulary: list[str], patterns: np.ndarray, toxic: np.ndarray, *, voters: int = 200, features: int = 600) -> Model:
+    """Mine lexicons, run the label model over the voters, train the classifier on its posteriors.
+
+    Text i holds the distinct words ``vocabulary[words[offsets[i] : offsets[i + 1]]]``.
+    """
     model = Model()
     if not len(toxic) or not toxic.any():
         return model
-    present = [{f for w in set(words) for f in word_features(w)} for words in word_lists]
-    lexicon = mine(present, toxic)
-    kept = lexicon[: max(voters, features)]
-    place = {f: i for i, f in enumerate(kept)}
+    present = Present(words, offsets, vocabulary)
+    kept = mine(present, toxic)[: max(voters, features)]
+    column = np.full(len(present.names), -1)
+    column[kept] = np.arange(len(kept))
+    names = [present.names[i] for i in kept]
     x = np.zeros((len(toxic), len(kept)), np.float32)
-    for i, own in enumerate(present):
-        for f in own & place.keys():
-            x[i, place[f]] = 1
+    for text, feature in present.pairs():
+        own = column[feature]
+        x[text[own >= 0], own[own >= 0]] = 1
     none = (x.sum(1) == 0).astype(float)
-    votes = np.column_stack((x[:, :voters], none, patterns))
-    posterior, found = label_model(votes, toxic.astype(float))
-    names = [*kept[:voters], "~none of the lexicon", *PATTERNS, "~label"]
-    model.accuracies = {n: (float(a), float(b), float(c)) for n, a, b, c in zip(names, found["rate1"], found["rate0"], found["share"], strict=True)}
+    posterior, found = label_model(np.column_stack((x[:, :voters], none, patterns)), toxic.astype(float))
+    voter_names = [*names[:voters], "~none of the lexicon", *PATTERNS, "~label"]
+    model.accuracies = {n: (float(a), float(b), float(c)) for n, a, b, c in zip(voter_names, found["rate1"], found["rate0"], found["share"], strict=True)}
     weights, model.bias = logistic(np.column_stack((x[:, :features], patterns)).astype(float), posterior)
-    model.weights = {f: float(w) for f, w in zip([*kept[:features], *PATTERNS], weights, strict=True)}
+    model.weights = {f: float(w) for f, w in zip([*names[:features], *PATTERNS], weights, strict=True)}
     return model
 
 
@@ -178,9 +205,15 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), lists, flags], ["id", "y", "words", "patterns"])
 
     found = rows.mapInArrow(gather, f"id {docs.schema[id_col].dataType.simpleString()}, y int, words array<string>, patterns array<boolean>").toArrow()
-    order = np.argsort(found.column("id").to_numpy(), kind="stable") if found.num_rows else []
-    found = found.take(pa.array(order, pa.int64()))
-    return fit(found.column("words").to_pylist(), np.array(found.column("patterns").to_pylist(), float).reshape(-1, len(PATTERNS)), found.column("y").to_numpy() > 0, **options)
+    order = pc.sort_indices(found.column("id")) if found.num_rows else pa.array([], pa.int64())
+    found = found.take(order).combine_chunks()
+    lists = pa.concat_arrays(found.column("words").chunks) if found.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    hits = np.array(found.column("patterns").to_pylist(), float).reshape(-1, len(PATTERNS))
+    offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))))
+    toxic = found.column("y").to_numpy() > 0
+    del found, lists
+    return fit(coded.indices.to_numpy(), offsets, coded.dictionary.to_pylist(), hits, toxic, **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[Column, ...] = ()) -> DataFrame:
