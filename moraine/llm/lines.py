@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import _inverse_powers, _powers, mixed
-from .storage import written
+from .storage import Scratch, written
 
 INDEX, PROBE = 1, 2
 
@@ -196,10 +196,12 @@ def _histograms(texts: list[str]) -> np.ndarray:
 
 def near_lines(rows: DataFrame, least: int, edits: int, tile: int = 512) -> DataFrame:
     """Edges between the ``short`` digests of distinct lines within ``edits`` edits, one for each line and shared key."""
-    entries = written(_entries(rows, least, edits), "line-entries")
+    scratch = Scratch(rows.sparkSession, "line-entries")
+    entries = scratch.put(_entries(rows, least, edits))
     # a line that stands in several tasks' texts entered several times; min and max tell whether two lines meet
     meets = entries.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b"), F.bit_or("role").alias("r")).where(f"a <> b AND r = {INDEX | PROBE}").select("key")
-    both = written(entries.join(meets, "key").select("key", "short", "role").distinct(), "line-candidates")
+    both = scratch.put(entries.join(meets, "key").select("key", "short", "role").distinct())
+    scratch.keep_last()  # the entries are the largest table here, and done with
     shorts = both.select("short").distinct()
     dealt = tiled(both, "key", "short", tile).select("cell", "tile_a", "tile_b", "tile_own", "short", "role")
     dealt = dealt.join(_texts(rows, shorts, least), "short")
