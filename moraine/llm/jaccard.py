@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import min_hashes, mixed, shingle_sets
-from .storage import Scratch, written
+from .storage import Scratch, give_back, small_batches, written
 from .vectors import _labels
 
 
@@ -64,6 +64,7 @@ def _sketches(rows: DataFrame, plan: Plan, shingle: int, id_type: str) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("mark"), pa.array(_digests(flat, counts), pa.binary()), pa.array(counts), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "mark", "rep", "size", "sketch"]
                 )
+        give_back()
 
     return rows.mapInArrow(sketch, f"id {id_type}, mark long, rep binary, size long, sketch binary")
 
@@ -187,6 +188,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
             if found:
                 at, to, count = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([rep.take(pa.array(at)), rep.take(pa.array(to)), pa.array(count)], ["rep", "root", "n_links"])
+        give_back()
 
     return sets.mapInArrow(verify, "rep binary, root binary, n_links long")
 
@@ -229,6 +231,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null texts and texts with no word have no set and link with nothing.  Repeated rows link with each other; rows with null
     ids keep a row, ids being left out of the minimum where null.  An empty table gives no row; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, shingle, threshold, recall, tile)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, recall: float, tile: int) -> DataFrame:
     plan = Plan.of(threshold, recall)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -248,6 +255,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 own = [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column("cluster"), part.column("rep"), part.column("n"), pa.array(counts), pa.array(own, pa.binary())], ["cluster", "rep", "n", "size", "shingles"])
                 yield out.filter(pa.array(same))
+        give_back()
 
     sets = written(source.mapInArrow(again, "cluster binary, rep binary, n long, size long, shingles binary"), "cluster-sets")
     dealt = tiled(sets, "cluster", "rep", tile, "size", 400_000).select("cell", "tile_a", "tile_b", "tile_own", "rep", "n", "shingles")

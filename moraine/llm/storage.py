@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -54,3 +58,27 @@ class Scratch:
     def keep_last(self) -> None:
         while len(self.paths) > 1:
             drop_path(self.spark, self.paths.pop(0))
+
+
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` while tables are written: whole documents in larger ones fill an executor's memory."""
+    before = spark.conf.get(BATCH_SETTING)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers are kept for later tasks, their heaps with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
