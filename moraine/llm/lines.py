@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import _inverse_powers, _powers, mixed
-from .storage import Scratch, written
+from .storage import Scratch, give_back, small_batches, written
 
 INDEX, PROBE = 1, 2
 
@@ -141,6 +141,7 @@ def _occurrences(rows: DataFrame, least: int, id_type: str) -> DataFrame:
                 docs = pa.array(_digest(part.column("text").to_pylist()), pa.binary())
                 line = _digest(lines.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), docs.take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(line, pa.binary()), pa.array(_short(line))], ["id", "doc", "number", "line", "short"])
+        give_back()
 
     return rows.mapInArrow(find, f"id {id_type}, doc binary, number int, line binary, short long")
 
@@ -156,6 +157,7 @@ def _entries(rows: DataFrame, least: int, edits: int) -> DataFrame:
                 codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
                 key, line, role = segment_keys(codes, np.cumsum(lengths) - lengths, lengths, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_short(_digest(texts))[line]), pa.array(role)], ["key", "short", "role"])
+        give_back()
 
     return rows.select("text").mapInArrow(enter, "key long, short long, role byte")
 
@@ -198,10 +200,14 @@ def near_lines(rows: DataFrame, least: int, edits: int, tile: int = 512) -> Data
     """Edges between the ``short`` digests of distinct lines within ``edits`` edits, one for each line and shared key."""
     scratch = Scratch(rows.sparkSession, "line-entries")
     entries = scratch.put(_entries(rows, least, edits))
-    # a line that stands in several tasks' texts entered several times; min and max tell whether two lines meet
-    meets = entries.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b"), F.bit_or("role").alias("r")).where(f"a <> b AND r = {INDEX | PROBE}").select("key")
-    both = scratch.put(entries.join(meets, "key").select("key", "short", "role").distinct())
+    # a line that stands in several tasks' texts entered several times: first the keys of several entries, by a count that
+    # shuffles little, then those of several lines among what is left
+    many = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("r")).where(f"n > 1 AND r = {INDEX | PROBE}").select("key")
+    some = scratch.put(entries.join(many, "key").select("key", "short", "role").distinct())
     scratch.keep_last()  # the entries are the largest table here, and done with
+    meets = some.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b").select("key")
+    both = scratch.put(some.join(meets, "key"))
+    scratch.keep_last()
     shorts = both.select("short").distinct()
     dealt = tiled(both, "key", "short", tile).select("cell", "tile_a", "tile_b", "tile_own", "short", "role")
     dealt = dealt.join(_texts(rows, shorts, least), "short")
@@ -282,7 +288,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    gone = written(removed_lines(rows, id_type, edits=edits, least=least), "removed-lines").select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone")
+    with small_batches(docs.sparkSession, 3000):
+        removed = written(removed_lines(rows, id_type, edits=edits, least=least), "removed-lines")
+    gone = removed.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone")
     all_rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
     own = all_rows.schema.fields[:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
@@ -295,6 +303,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             packer = zstandard.ZstdCompressor(level=3)
             packed = [None if x is None else packer.compress(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary()), pa.array(_digest(texts), pa.binary())], [*batch.schema.names[:-1], "packed", "doc"])
+        give_back()
 
     small = all_rows.mapInArrow(squeeze, f"{fields}, packed binary, doc binary")
     joined = small.join(gone, small["id"].eqNullSafe(gone["gone_id"]) & (small["doc"] == gone["gone_doc"]), "left").select(*[small[f.name] for f in own], "packed", "gone")
@@ -319,5 +328,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(losses, pa.int64())], [*batch.schema.names[:-2], "text", "n_lines", "n_removed"])
+        give_back()
 
     return joined.mapInArrow(rewrite, f"{fields}, text string, n_lines long, n_removed long")
