@@ -12,7 +12,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path, written
+from .storage import give_back, new_path, small_batches, written
 from .tokens import default_tokenizer, with_end, word_encoder
 
 FILES_SCHEMA = "part int, path string, index_path string, docs long, tokens long"
@@ -50,6 +50,7 @@ def write_token_files(
             out = out or _Writer(path, part, encoder.dtype, sequence, batch_rows)
             ids, counts = with_end(*encoder.encode(batch.column("text")), end_id)
             out.add(batch.column("id"), ids, counts)
+        give_back()
         if out:
             docs_in, tokens_in = out.close()
             yield pa.RecordBatch.from_pylist(
@@ -57,7 +58,8 @@ def write_token_files(
                 pa.schema([("part", pa.int32()), ("path", pa.string()), ("index_path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]),
             )
 
-    return written(rows.mapInArrow(write, FILES_SCHEMA), "token-file-list")
+    with small_batches(spark, 3000):
+        return written(rows.mapInArrow(write, FILES_SCHEMA), "token-file-list")
 
 
 class _Writer:
