@@ -56,7 +56,7 @@ def features(words: pa.Array, sizes: tuple[int, ...], width: int) -> tuple[np.nd
     rolling = np.zeros(len(data), np.uint64)
     for k in range(1, max(sizes) + 1):
         shifted = np.zeros(len(data), np.uint64)
-        shifted[: len(data) - k + 1] = data[k - 1 :]
+        shifted[: max(len(data) - k + 1, 0)] = data[k - 1 :]
         rolling = rolling * _P + shifted
         if k in sizes:
             inside = at + k <= ends
@@ -231,6 +231,8 @@ def _cuts(n: int, mean: int, rng: np.random.Generator) -> list[tuple[int, int]]:
 
 def predict(model: Model, texts: pa.Array, at_once: int = 400_000) -> tuple[list[str], np.ndarray]:
     """Language and score of each whole text: the most words' worth of probability, and its share."""
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     counts, index, words = normal_words(texts)
     by_word, lettered = emissions(model, words), _lettered(words)
     ends = np.cumsum(counts)
@@ -241,10 +243,10 @@ def predict(model: Model, texts: pa.Array, at_once: int = 400_000) -> tuple[list
         token = index[low : ends[j - 1]]
         p = marginals(by_word[token], counts[i:j], model.transitions, model.start)[0] * lettered[token][:, None]
         owner = np.repeat(np.arange(j - i), counts[i:j])
-        sums = np.stack([np.bincount(owner, p[:, k], j - i) for k in range(p.shape[1])], 1) if len(model.languages) else np.zeros((j - i, 1))
+        sums = np.stack([np.bincount(owner, p[:, k], j - i) for k in range(p.shape[1])], 1)
         total = sums.sum(1)
         best = sums.argmax(1)
-        names += [model.languages[b] if n > 0 and model.languages else UNKNOWN for b, n in zip(best, total, strict=True)]
+        names += [model.languages[b] if n > 0 else UNKNOWN for b, n in zip(best, total, strict=True)]
         scores.append(np.where(total > 0, sums.max(1) / np.maximum(total, 1e-300), 0.0))
         i = j
     return names, np.clip(np.concatenate(scores), 0, 1) if scores else np.empty(0)

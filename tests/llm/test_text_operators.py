@@ -162,9 +162,10 @@ def test_label_model_discounts_copies():
     y = rng.random(4000) < 0.2
     good, bad = y ^ (rng.random(4000) < 0.05), y ^ (rng.random(4000) < 0.4)
     votes = np.column_stack((good, bad, bad, bad)).astype(float)
-    posterior, found = toxicity.label_model(votes, (y ^ (rng.random(4000) < 0.1)).astype(float))
+    posterior, found = toxicity.label_model(votes, (y ^ (rng.random(4000) < 0.03)).astype(float))
     assert found["share"][1] < 0.5 and found["share"][0] > found["share"][1]
-    assert np.mean((posterior > 0.5) == y) > 0.93
+    assert found["rate1"][0] > 0.8 > found["rate1"][1] and found["rate0"][0] < 0.2 < found["rate0"][1]
+    assert np.mean((posterior > 0.5) == y) > 0.95
 
 
 def test_toxicity_on_held_out_documents(spark):
