@@ -55,7 +55,7 @@ def two_track_motion(d_asc: Column, d_desc: Column, asc: tuple[Column, Column, C
     east = (d_asc * desc[2] - asc[2] * d_desc) / determinant
     up = (asc[0] * d_desc - d_asc * desc[0]) / determinant
     size = F.hypot(east, up)
-    solved = F.struct(east.alias("east"), up.alias("up"), F.degrees(F.atan2(-up, F.abs(east))).alias("plunge"), F.try_divide(F.abs(up), size).alias("vertical_fraction"))
+    solved = F.struct(east.alias("east"), up.alias("up"), size.alias("magnitude"), F.degrees(F.atan2(-up, F.abs(east))).alias("plunge"), F.try_divide(F.abs(up), size).alias("vertical_fraction"))
     return F.when(F.abs(determinant) >= 1e-6, solved)
 
 
