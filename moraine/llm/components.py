@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, size_of
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int = 60, within: int | None = None) -> DataFrame:
     """Smallest member of each node's component.
 
     ``edges`` has columns ``u`` and ``v`` of one orderable type, in any direction; null ends and loops are ignored, repeated
@@ -17,11 +17,12 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     smallest neighbour, so the number of rounds grows with the logarithm of the longest path.
     """
     scratch = Scratch(edges.sparkSession, name)
-    now = scratch.put(_ordered(edges))
+    now = scratch.put(_ordered(edges), within)
+    within = size_of(now)  # rounds merge edges, they make none
     for _ in range(rounds):
         if _stars(now):
             break
-        now = scratch.put(_small_star(_large_star(now)))
+        now = scratch.put(_small_star(_large_star(now)), within)
         scratch.keep_last()
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import min_hashes, mixed, shingle_sets
-from .storage import Scratch, give_back, small_batches, written
+from .storage import Scratch, give_back, size_of, small_batches, written
 from .vectors import _labels
 
 
@@ -148,14 +148,14 @@ def candidates(distinct: DataFrame, plan: Plan) -> DataFrame:
         # buckets of equal sets, ready ones once; large ones, with their number as a part of the key, all
         alone = F.when(F.col("kind") == "large", F.col("node"))
         named = sizes.groupBy("rows", "who", "kind", alone.alias("alone")).agg(F.min("node").alias("node")).select("node", "kind", "rows")
-        rows = scratch.put(level.drop("parent_rows").join(named, "node"))
+        rows = scratch.put(level.drop("parent_rows").join(named, "node"), size_of(level))
         ready.append(rows.where("kind <> 'large'").select("node", "rep", "kind"))
         large = rows.where("kind = 'large'")
         if depth == plan.depth or not large.limit(1).count():
             break
         if "sketch" not in large.columns:
             large = large.join(distinct.select("rep", "sketch"), "rep")
-        level = scratch.put(_children(large, plan))
+        level = scratch.put(_children(large, plan), size_of(rows) + size_of(distinct))
     ready = reduce(DataFrame.unionByName, ready)
     heart = ready.where("kind = 'dense'").groupBy("node").agg(F.min("rep").alias("v"))
     crowded = ready.where("kind = 'dense'").join(heart, "node").select(F.col("rep").alias("u"), "v")
@@ -240,8 +240,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     table = written(_sketches(rows.withColumn("mark", F.when(F.col("text").isNotNull(), F.xxhash64("text"))), plan, shingle, id_type), "sketches")
-    distinct = written(table.where(F.col("rep").isNotNull()).groupBy("rep", "size", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")), "distinct-sets")
-    clusters = components(candidates(distinct, plan), "candidate-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    distinct = written(table.where(F.col("rep").isNotNull()).groupBy("rep", "size", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")), "distinct-sets", size_of(table))
+    clusters = components(candidates(distinct, plan), "candidate-clusters", within=size_of(distinct)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     needed = distinct.select("rep", "n", "low", "size").join(clusters, "rep")
     source = rows.join(needed, rows["id"].eqNullSafe(needed["low"])).select("text", "rep", "n", "cluster")
 
@@ -260,10 +260,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     sets = written(source.mapInArrow(again, "cluster binary, rep binary, n long, size long, shingles binary"), "cluster-sets")
     dealt = tiled(sets, "cluster", "rep", tile, "size", 400_000).select("cell", "tile_a", "tile_b", "tile_own", "rep", "n", "shingles")
     links = written(_verified(together(dealt, "cell", "rep"), threshold), "jaccard-links")
-    groups = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "jaccard-components").withColumnRenamed("node", "rep")
+    groups = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "jaccard-components", within=size_of(links)).withColumnRenamed("node", "rep")
     counted = links.groupBy("rep").agg(F.sum("n_links").alias("others"))
     labelled = distinct.select("rep", "n", "low").join(counted, "rep", "left").join(groups, "rep", "left")
-    labelled = written(labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), "low"), "jaccard-classes")
+    labelled = written(labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), "low"), "jaccard-classes", size_of(distinct))
     lows = labelled.groupBy("component").agg(F.min("low").alias("class_id"))
     classes = labelled.join(lows, "component").select("rep", "links", "class_id")
     out = table.select("id", "mark", "rep").join(classes, "rep", "left")

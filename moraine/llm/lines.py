@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import _inverse_powers, _powers, mixed
-from .storage import Scratch, give_back, small_batches, written
+from .storage import Scratch, give_back, size_of, small_batches, written
 
 INDEX, PROBE = 1, 2
 
@@ -203,10 +203,10 @@ def near_lines(rows: DataFrame, least: int, edits: int, tile: int = 512) -> Data
     # a line that stands in several tasks' texts entered several times: first the keys of several entries, by a count that
     # shuffles little, then those of several lines among what is left
     many = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("r")).where(f"n > 1 AND r = {INDEX | PROBE}").select("key")
-    some = scratch.put(entries.join(many, "key").select("key", "short", "role").distinct())
+    some = scratch.put(entries.join(many, "key").select("key", "short", "role").distinct(), size_of(entries))
     scratch.keep_last()  # the entries are the largest table here, and done with
     meets = some.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b").select("key")
-    both = scratch.put(some.join(meets, "key"))
+    both = scratch.put(some.join(meets, "key"), size_of(some))
     scratch.keep_last()
     shorts = both.select("short").distinct()
     dealt = tiled(both, "key", "short", tile).select("cell", "tile_a", "tile_b", "tile_own", "short", "role")
@@ -262,14 +262,14 @@ def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removed_lines(rows: DataFrame, id_type: str, *, edits: int = 2, least: int = 24) -> DataFrame:
     """``id``, ``doc`` (digest of the text) and the numbers of the lines that stand elsewhere first."""
     found = written(_occurrences(rows, least, id_type), "lines")
-    distinct = written(found.groupBy("line", "short").agg(F.min(F.struct("id", "doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    groups = components(near_lines(rows, least, edits), "line-components")
+    distinct = written(found.groupBy("line", "short").agg(F.min(F.struct("id", "doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines", size_of(found))
+    groups = components(near_lines(rows, least, edits), "line-components", within=size_of(distinct))
     keyed = distinct.join(groups.withColumnRenamed("node", "short"), "short", "left")
     near = keyed.where("component IS NOT NULL")
     lead = near.groupBy("component").agg(F.min("first").alias("lead"))
     leads = near.join(lead, "component").select("line", "lead").unionByName(keyed.where("component IS NULL AND n > 1").select("line", F.col("first").alias("lead")))
     gone = found.join(leads, "line").where(~F.struct("id", "doc", "number").eqNullSafe(F.col("lead")))
-    return gone.groupBy("id", "doc").agg(F.collect_set("number").alias("gone"))
+    return written(gone.groupBy("id", "doc").agg(F.collect_set("number").alias("gone")), "removed-lines", size_of(found))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -289,7 +289,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with small_batches(docs.sparkSession, 3000):
-        removed = written(removed_lines(rows, id_type, edits=edits, least=least), "removed-lines")
+        removed = removed_lines(rows, id_type, edits=edits, least=least)
     gone = removed.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone")
     all_rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
     own = all_rows.schema.fields[:-1]

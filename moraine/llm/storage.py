@@ -29,13 +29,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, within: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    ``within`` is a bound on its bytes, as :func:`size_of` a table it came from gives: see :func:`in_few_files`.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    in_few_files(df, within).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(table: DataFrame) -> int:
+    """Bytes of the files of a written table."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        total += where.getFileSystem(conf).getContentSummary(where).getLength()
+    return total
+
+
+def in_few_files(df: DataFrame, within: int | None, file_mb: int = 64) -> DataFrame:
+    """``df`` in as many partitions as ``within`` bytes ask for, two for each core at least; as it is without a bound.
+
+    Rounds over slim tables else write a tiny file for every shuffle partition, and open them all again.
+    """
+    if within is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, within // (file_mb << 20) + 1))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path written by :func:`written` or :func:`new_path`."""
     jvm = spark.sparkContext._jvm
@@ -49,9 +72,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, []
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, within: int | None = None) -> DataFrame:
         path = new_path(self.spark, self.name)
-        df.write.parquet(path)
+        in_few_files(df, within).write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import tiled, together, whole_groups
-from .storage import written
+from .storage import size_of, written
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([rep.take(pa.array(at)), rep.take(pa.array(to)), pa.array(count)], ["rep", "root", "n_links"])
 
     links = written(dealt.mapInArrow(link, "rep binary, root binary, n_links long"), "vector-links")
-    groups = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-components")
+    groups = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-components", within=size_of(links))
     counted = links.groupBy("rep").agg(F.sum("n_links").alias("others"))
     labelled = distinct.select("rep", "n", "low").join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), "low")
