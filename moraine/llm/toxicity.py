@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import normal_words
+from .storage import give_back
 
 #: Patterns that vote besides the mined lexicons; any text, any language.
 PATTERNS = {
@@ -229,9 +230,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 1500):
+                part = batch.slice(at, 1500)
                 s = scores(shared.value, part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+        give_back()
 
     return rows.mapInArrow(judge, schema)
