@@ -26,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in the corpus before; a document that so loses all its text goes."""
-    slim = lines.dedup_lines(docs, keep=("lang", "source", "n_chars")).withColumnRenamed("id", "doc_id")
+    slim = lines.dedup_lines(docs, exact=1, keep=("lang", "source", "n_chars")).withColumnRenamed("id", "doc_id")
     left = slim.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -259,9 +259,9 @@ def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def removed_lines(rows: DataFrame, id_type: str, *, edits: int = 2, least: int = 24) -> DataFrame:
+def removed_lines(rows: DataFrame, id_type: str, *, edits: int = 2, least: int = 24, exact: int | None = None) -> DataFrame:
     """``id``, ``doc`` (digest of the text) and the numbers of the lines that stand elsewhere first."""
-    found = written(_occurrences(rows, least, id_type), "lines")
+    found = written(_occurrences(rows, least if exact is None else min(exact, least), id_type), "lines")
     distinct = written(found.groupBy("line", "short").agg(F.min(F.struct("id", "doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines", size_of(found))
     groups = components(near_lines(rows, least, edits), "line-components", within=size_of(distinct))
     keyed = distinct.join(groups.withColumnRenamed("node", "short"), "short", "left")
@@ -272,12 +272,13 @@ def removed_lines(rows: DataFrame, id_type: str, *, edits: int = 2, least: int =
     return written(gone.groupBy("id", "doc").agg(F.collect_set("number").alias("gone")), "removed-lines", size_of(found))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, exact: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the lines that stand in the corpus before: ``id``, ``keep``, ``text``, ``n_lines``, ``n_removed``.
 
     Lines are what line feeds part.  Those of ``least`` or more characters, outer white space aside, belong to one class if
     a chain of lines within ``edits`` edits of each other connects them; of each class only the first line stays, by id,
-    then text, then position.  Shorter lines always stay.
+    then text, then position.  Shorter lines of ``exact`` or more characters (none, if it is not given) are in a class with
+    their equals only: two edits change much of a short line.  Lines shorter than both always stay.
 
     Equal lines are taken once.  Segment keys of all distinct lines are counted; only keys that two lines share move on, with
     their texts, in tiles of bounded size; candidate pairs are never rows.  Documents move once, compressed, to meet the
@@ -289,7 +290,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with small_batches(docs.sparkSession, 3000):
-        removed = removed_lines(rows, id_type, edits=edits, least=least)
+        removed = removed_lines(rows, id_type, edits=edits, least=least, exact=exact)
     gone = removed.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone")
     all_rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
     own = all_rows.schema.fields[:-1]

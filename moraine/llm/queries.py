@@ -75,7 +75,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return dedup_lines(_table(spark, sf_dir, "documents"), exact=1).withColumnRenamed("id", "doc_id")
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
