@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import stats as S
-from .graph import flow_accumulation, depressions_filled, receivers, upstream_pairs
+from .graph import checkpointed, flow_accumulation, depressions_filled, receivers, upstream_pairs
 
 
 def shifted(grid: DataFrame, value: str) -> DataFrame:
@@ -164,24 +165,41 @@ def ranked_sites(sites: DataFrame, by: str = "efficiency") -> DataFrame:
 def suppressed(sites: DataFrame, by: str = "efficiency", top: int = 12, least_km: float = 1.5, pool: int = 5000) -> DataFrame:
     """The first ``top`` sites of the order that keep ``least_km`` from every one taken before.
 
-    Taking sites one by one is sequential, so it runs over the first ``pool`` of the order, a documented bound.
+    Taking sites one by one is sequential, so it runs over the first ``pool`` of the order, then over the first ``pool`` of
+    those that are far enough from all taken so far, until ``top`` are taken or no site is left.
     """
-    first = ranked_sites(sites, by).limit(pool)
-    order = [("threshold_height_m", True), ("efficiency_Mm3_per_m", False)] if by == "efficiency" else [("max_volume_Mm3", False)]
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([k for k, _ in order], ascending=[a for _, a in order], kind="stable")
-        kept: list[int] = []
-        lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-        for i in range(len(pdf)):
-            near = any(math.hypot((lat[i] - lat[k]) * 110.57, (lon[i] - lon[k]) * 111.32 * math.cos(math.radians(lat[i]))) < least_km for k in kept)
-            if not near:
-                kept.append(i)
-            if len(kept) >= top:
-                break
-        return pdf.iloc[kept]
-
-    return first.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda pdf: take(pdf.drop(columns="_one")), first.schema)
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    order = [known("threshold_height_m").asc_nulls_last(), known("efficiency_Mm3_per_m").desc_nulls_last()] if by == "efficiency" else [known("max_volume_Mm3").desc_nulls_last()]
+    order.append(F.col("_site").asc())
+    pool = max(pool, top)
+    numbered = checkpointed(sites.withColumn("_site", F.monotonically_increasing_id()))
+    kept: list[tuple[int, float, float]] = []
+
+    def near(lat: float, lon: float, taken: list[tuple[int, float, float]]) -> bool:
+        return any(math.hypot((lat - y) * 110.57, (lon - x) * 111.32 * math.cos(math.radians(lat))) < least_km for _, y, x in taken)
+
+    left = numbered
+    while len(kept) < top:
+        block = left.orderBy(*order).limit(pool).select("_site", F.coalesce(F.col("lat").cast("double"), F.lit(math.nan)), F.coalesce(F.col("lon").cast("double"), F.lit(math.nan))).collect()
+        for site, lat, lon in block:
+            if len(kept) < top and not near(lat, lon, kept):
+                kept.append((site, lat, lon))
+        if len(block) < pool:
+            break
+        left = _away(numbered, near, list(kept))
+    return numbered.where(F.col("_site").isin([site for site, _, _ in kept])).orderBy(*order).drop("_site")
+
+
+def _away(sites: DataFrame, near: Callable[..., bool], taken: list[tuple[int, float, float]]) -> DataFrame:
+    """Sites that are none of ``taken`` nor near one of them, by the very test that takes them."""
+    names = {site for site, _, _ in taken}
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lat, lon = pdf["lat"].astype(float), pdf["lon"].astype(float)
+            yield pdf[[s not in names and not near(y, x, taken) for s, y, x in zip(pdf["_site"], lat, lon, strict=True)]]
+
+    return sites.mapInPandas(keep, sites.schema)
 
 
 def site_rank(sites: DataFrame, by: str = "efficiency") -> DataFrame:
