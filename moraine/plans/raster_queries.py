@@ -20,9 +20,10 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(load(spark, sf_dir, "embeddings"))
 
 
-def _dem(spark: SparkSession, sf_dir: str, rows: int, cols: int) -> DataFrame:
-    """A corner of the raster as heights: a stated small grid for the operators that walk it."""
-    return _pixels(spark, sf_dir).where((F.col("row") < rows) & (F.col("col") < cols)).select("row", "col", F.round(F.col("value") * 1000, 1).alias("z"))
+def _dem(spark: SparkSession, sf_dir: str, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """The raster as heights, or a corner of it: a stated small grid for the recursive SQL to walk."""
+    heights = _pixels(spark, sf_dir).select("row", "col", F.round(F.col("value") * 1000, 1).alias("z"))
+    return heights if rows is None else heights.where((F.col("row") < rows) & (F.col("col") < cols))
 
 
 def _dem_sql(rows: int, cols: int) -> str:
@@ -83,7 +84,7 @@ _SHIFT = "x AS (SELECT max(row) AS r1, max(col) AS c1 FROM z), n AS (SELECT a.ro
 @query(f"""WITH {_P}, {_dem_sql(500, 64)}, {_SHIFT}, g AS (SELECT row, col, sum(v * j * CASE WHEN i = 0 THEN 2 ELSE 1 END) / 640 AS e, sum(-v * i * CASE WHEN j = 0 THEN 2 ELSE 1 END) / 640 AS n FROM n GROUP BY 1, 2)
 SELECT row, col, round(degrees(atan(sqrt(e * e + n * n))), 4) AS slope FROM g""")
 def horn_slope_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.slope_aspect(_dem(spark, sf_dir, 500, 64), "z", 80.0, 80.0).select("row", "col", F.round("slope", 4).alias("slope"))
+    return T.slope_aspect(_dem(spark, sf_dir), "z", 80.0, 80.0).select("row", "col", F.round("slope", 4).alias("slope"))
 
 
 _STEPS = "t AS (SELECT * FROM (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) AS v(step, di, dj))"
@@ -92,7 +93,7 @@ _RECV = _STEPS + ", s AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col,
 
 @query(f"WITH {_P}, {_dem_sql(500, 64)}, {_RECV} SELECT row, col, to_row, to_col, round(slope, 6) AS slope FROM f".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
 def d8_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.receivers(_dem(spark, sf_dir, 500, 64), 80.0, 80.0, "z").withColumn("slope", F.round("slope", 6))
+    return T.receivers(_dem(spark, sf_dir), 80.0, 80.0, "z").withColumn("slope", F.round("slope", 6))
 
 
 @query(f"WITH RECURSIVE {_P}, {_dem_sql(16, 16)}, {_RECV}, up AS (SELECT row, col, row AS ur, col AS uc FROM z UNION ALL SELECT f.to_row, f.to_col, up.ur, up.uc FROM up JOIN f ON f.row = up.row AND f.col = up.col) SELECT row, col, count(*) AS acc FROM up GROUP BY 1, 2".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
@@ -101,14 +102,20 @@ def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.flow_accumulation(T.receivers(dem, 80.0, 80.0, "z"), dem)
 
 
+@query()
+def flow_accumulation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dem = _dem(spark, sf_dir)
+    return T.flow_accumulation(T.receivers(dem, 80.0, 80.0, "z"), dem)
+
+
 @query()
 def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.depressions_filled(_dem(spark, sf_dir, 24, 24))
+    return T.depressions_filled(_dem(spark, sf_dir))
 
 
 @query()
 def impoundment_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = T.impoundments(_dem(spark, sf_dir, 24, 24), [10.0, 50.0, 100.0], 80.0, 80.0, least_cells=8)
+    sites = T.impoundments(_dem(spark, sf_dir), [10.0, 50.0, 100.0], 80.0, 80.0, least_cells=8)
     return T.site_rank(sites.drop("by_height").withColumn("responses", F.lit(1)))
 
 
@@ -165,6 +172,14 @@ def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bilinear(points, dem, "x", "y", "z").select("k", "x", F.round("z", 6).alias("z"))
 
 
+@query()
+def bilinear_resample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point in every cell; NULL where the raster ends beside it."""
+    dem = _dem(spark, sf_dir)
+    points = dem.select(F.col("row").alias("k"), (F.col("row") + 0.25).alias("y"), (F.col("col") + 0.5).alias("x"))
+    return T.bilinear(points, dem, "x", "y", "z").select("k", "x", F.round("z", 6).alias("z"))
+
+
 _MASK = "c AS (SELECT row, col, value FROM p WHERE value > 0.17 AND row < 120)"
 
 
@@ -172,7 +187,16 @@ _MASK = "c AS (SELECT row, col, value FROM p WHERE value > 0.17 AND row < 120)"
 l AS (SELECT a, min(b) AS component FROM reach GROUP BY 1), n AS (SELECT component, count(*) AS n_px FROM l GROUP BY 1 HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (ORDER BY n_px DESC, component) AS cluster FROM n)
 SELECT r.cluster, any_value(r.n_px) AS n_px, round(avg(c.row), 6) AS row_centre, round(sum(abs(value) * c.col) / sum(abs(value)), 6) AS col_weighted, max(c.row) - min(c.row) + 1 AS height, max(c.col) - min(c.col) + 1 AS width, round(median(value), 6) AS change_median FROM c JOIN l ON l.a = c.row * 64 + c.col JOIN r USING (component) GROUP BY 1""")
 def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _pixels(spark, sf_dir).where("value > 0.17 AND row < 120").select("row", "col", "value", F.lit(1.0).alias("before"))
+    return _cluster_rows(_pixels(spark, sf_dir).where("row < 120"))
+
+
+@query()
+def connected_clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cluster_rows(_pixels(spark, sf_dir))
+
+
+def _cluster_rows(pixels: DataFrame) -> DataFrame:
+    cells = pixels.where("value > 0.17").select("row", "col", "value", F.lit(1.0).alias("before"))
     found = graph.clusters(cells, least=3)
     out = P.cluster_measures(found, ["cluster"], "value", "before")
     return out.select("cluster", "n_px", F.round("row_centre", 6).alias("row_centre"), F.round("col_weighted", 6).alias("col_weighted"), "height", "width", F.round("change_median", 6).alias("change_median"))
