@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import normal_words
-from .storage import give_back
+from .storage import give_back, small_batches, written
 
 #: Patterns that vote besides the mined lexicons; any text, any language.
 PATTERNS = {
@@ -45,15 +45,17 @@ def pattern_hits(texts: pa.Array) -> np.ndarray:
 class Present:
     """Which features each text holds, by numbers: texts as distinct words, words as features."""
 
-    def __init__(self, words: np.ndarray, offsets: np.ndarray, vocabulary: list[str]):
-        self.words, self.offsets, place = words, offsets, {}
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, vocabulary: list[str], wanted: dict[str, int] | None = None):
+        """Of ``wanted`` features, if given, only those count, under their numbers there."""
+        self.words, self.offsets = words, offsets
+        place: dict[str, int] = {} if wanted is None else wanted
         own = array.array("i")
         lengths = np.empty(len(vocabulary), np.int64)
-        seen = np.bincount(words, minlength=len(vocabulary))
         for i, w in enumerate(vocabulary):
-            found = word_features(w)[int(seen[i] < 2) :]  # a word of one text is no feature, its beginnings may be
-            lengths[i] = len(found)
-            own.extend([place.setdefault(f, len(place)) for f in found])
+            found = word_features(w)
+            numbers = [place.setdefault(f, len(place)) for f in found] if wanted is None else [place[f] for f in found if f in place]
+            lengths[i] = len(numbers)
+            own.extend(numbers)
         self.names, self.features = list(place), np.frombuffer(own, np.int32) if len(own) else np.empty(0, np.int32)
         self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
 
@@ -69,28 +71,52 @@ class Present:
             yield low + both // max(len(self.names), 1), both % max(len(self.names), 1)
 
 
-def mine(present: Present, toxic: np.ndarray, *, most: int = 2000, least_docs: int = 2) -> np.ndarray:
-    """Features far more frequent in toxic texts, strongest first: by the lower end of their log odds."""
-    pos, neg = np.zeros(len(present.names)), np.zeros(len(present.names))
-    for text, feature in present.pairs():
-        pos += np.bincount(feature[toxic[text]], minlength=len(pos))
-        neg += np.bincount(feature[~toxic[text]], minlength=len(neg))
-    n1, n0 = int(toxic.sum()), len(toxic) - int(toxic.sum())
-    odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((neg + 0.5) / (n0 - neg + 0.5))
-    low = odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((pos >= least_docs) & (low > 1.0))
-    return np.array(sorted(good, key=lambda i: (-round(low[i], 9), present.names[i]))[:most], np.int64)
+def _present(batch: pa.RecordBatch, wanted: dict[str, int] | None = None) -> Present:
+    lists = batch.column("words")
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return Present(coded.indices.to_numpy(), offsets - offsets[0], coded.dictionary.to_pylist(), wanted)
+
+
+def mined(sample: DataFrame, *, most: int, least_docs: int = 2) -> list[str]:
+    """Features far more frequent in toxic texts of ``sample``, strongest first: by the lower end of their log odds.
+
+    Each task counts its texts by feature and class; only the sums of a feature are shuffled, the ``most`` best come back.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here, toxic = _present(batch), batch.column("y").to_numpy() > 0
+            pos, neg = np.zeros(len(here.names), np.int64), np.zeros(len(here.names), np.int64)
+            for text, feature in here.pairs():
+                pos += np.bincount(feature[toxic[text]], minlength=len(pos))
+                neg += np.bincount(feature[~toxic[text]], minlength=len(neg))
+            yield pa.RecordBatch.from_arrays([pa.array(here.names, pa.string()), pa.array(pos), pa.array(neg)], ["feature", "pos", "neg"])
+        give_back()
+
+    sizes = sample.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    n1, n0 = int(sizes["n1"]), int(sizes["n"]) - int(sizes["n1"])
+    if not n1:
+        return []
+    sums = sample.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(pos / (n1 + 1 - pos)) - F.log(neg / (n0 + 1 - neg))
+    low = F.round(odds - F.sqrt(1 / pos + 1 / neg), 9)
+    good = sums.where(F.col("pos") >= least_docs).withColumn("low", low).where("low > 1.0")
+    return [r["feature"] for r in good.orderBy(F.desc("low"), "feature").limit(most).select("feature").collect()]
 
 
 def label_model(votes: np.ndarray, trusted: np.ndarray, *, rounds: int = 10, least_correlation: float = 0.3) -> tuple[np.ndarray, dict]:
     """Posterior of the positive class from binary votes, by expectation maximisation.
 
-    Each voter has a rate of voting under either class; the given label is one more voter, whose accuracy is estimated like
-    the others'.  What voters still share once the class is known (their residual correlations) divides their evidence:
+    Each voter has a rate of voting under either class; the given label, an annotator who may err, is one more source, whose
+    accuracy is estimated like the others'.  What voters still share once the class is known (their residual correlations) divides their evidence:
     a voter counts by one over the sum of its correlations from ``least_correlation`` up (below that they may be chance), so
     copies of a voter count as one.
     """
-    all_votes = np.column_stack((votes, trusted)).astype(float)
+    all_votes = np.column_stack((votes, trusted)).astype(np.float32)
     r = np.where(trusted > 0, 0.95, 0.02)
     share = np.ones(all_votes.shape[1])
     prior = float(r.mean()) if len(r) else 0.5
@@ -99,7 +125,7 @@ def label_model(votes: np.ndarray, trusted: np.ndarray, *, rounds: int = 10, lea
         rate1 = (r @ all_votes + 0.5) / (r.sum() + 1)
         rate0 = ((1 - r) @ all_votes + 0.5) / ((1 - r).sum() + 1)
         prior = float(np.clip(r.mean(), 1e-3, 1 - 1e-3))
-        residual = all_votes - (r[:, None] * rate1 + (1 - r)[:, None] * rate0)
+        residual = all_votes - (r[:, None] * rate1 + (1 - r)[:, None] * rate0).astype(np.float32)
         spread = residual.std(0) + 1e-9
         correlation = (residual.T @ residual) / len(residual) / spread[:, None] / spread
         np.fill_diagonal(correlation, 1)
@@ -109,17 +135,19 @@ def label_model(votes: np.ndarray, trusted: np.ndarray, *, rounds: int = 10, lea
     return r, {"rate1": rate1, "rate0": rate0, "share": share}
 
 
-def logistic(x: np.ndarray, target: np.ndarray, *, penalty: float = 0.004, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """L2 logistic regression on soft labels, by Newton steps."""
+def logistic(x: np.ndarray, target: np.ndarray, *, penalty: float = 0.004, rounds: int = 15, block: int = 2000) -> tuple[np.ndarray, float]:
+    """L2 logistic regression on soft labels, by Newton steps; sums run over blocks of rows."""
     n, d = x.shape
-    design = np.column_stack((x, np.ones(n)))
     w = np.zeros(d + 1)
     ridge = np.full(d + 1, penalty * np.sqrt(n))
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (target - p) - ridge * w
-        hessian = (design * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ design + np.diag(ridge)
+        gradient, hessian = -ridge * w, np.diag(ridge)
+        for low in range(0, n, block):
+            design = np.column_stack((x[low : low + block], np.ones(len(x[low : low + block])))).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            gradient += design.T @ (target[low : low + block] - p)
+            hessian += (design * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ design
         step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -127,29 +155,20 @@ def logistic(x: np.ndarray, target: np.ndarray, *, penalty: float = 0.004, round
     return w[:-1], float(w[-1])
 
 
-def fit(words: np.ndarray, offsets: np.ndarray, vocabulary: list[str], patterns: np.ndarray, toxic: np.ndarray, *, voters: int = 200, features: int = 600) -> Model:
-    """Mine lexicons, run the label model over the voters, train the classifier on its posteriors.
+def fit(names: list[str], x: np.ndarray, patterns: np.ndarray, toxic: np.ndarray, *, voters: int = 200) -> Model:
+    """Run the label model over the first ``voters`` lexicon entries, the patterns and the label, train the classifier on its posteriors.
 
-    Text i holds the distinct words ``vocabulary[words[offsets[i] : offsets[i + 1]]]``.
+    ``x`` says which of the mined features ``names`` each text holds, ``patterns`` which of the patterns.
     """
     model = Model()
     if not len(toxic) or not toxic.any():
         return model
-    present = Present(words, offsets, vocabulary)
-    kept = mine(present, toxic)[: max(voters, features)]
-    column = np.full(len(present.names), -1)
-    column[kept] = np.arange(len(kept))
-    names = [present.names[i] for i in kept]
-    x = np.zeros((len(toxic), len(kept)), np.float32)
-    for text, feature in present.pairs():
-        own = column[feature]
-        x[text[own >= 0], own[own >= 0]] = 1
-    none = (x.sum(1) == 0).astype(float)
+    none = ~x.any(1)
     posterior, found = label_model(np.column_stack((x[:, :voters], none, patterns)), toxic.astype(float))
     voter_names = [*names[:voters], "~none of the lexicon", *PATTERNS, "~label"]
     model.accuracies = {n: (float(a), float(b), float(c)) for n, a, b, c in zip(voter_names, found["rate1"], found["rate0"], found["share"], strict=True)}
-    weights, model.bias = logistic(np.column_stack((x[:, :features], patterns)).astype(float), posterior)
-    model.weights = {f: float(w) for f, w in zip([*names[:features], *PATTERNS], weights, strict=True)}
+    weights, model.bias = logistic(np.column_stack((x, patterns)), posterior)
+    model.weights = {f: float(w) for f, w in zip([*names, *PATTERNS], weights, strict=True)}
     return model
 
 
@@ -179,10 +198,11 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, features: int = 600, **options) -> Model:
     """Fit on at most ``max_rows`` allowed labelled rows, picked by a hash of the id.
 
-    The bound is on the rows that reach the driver: each row's distinct words and patterns, of its whole text.  A document
+    The rows' distinct words and patterns, of their whole texts, are written to the shared folder; lexicons are mined there
+    by an aggregation, and only the numbers of the ``features`` mined ones that each row holds reach the driver.  A document
     with several labels counts as toxic if one of them says so; null labels and ids are left out.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(allowed).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -193,28 +213,44 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 counts, index, words = normal_words(part.column("text"))
                 owner = np.repeat(np.arange(len(counts)), counts)
                 pairs = np.unique(owner * max(len(words), 1) + index)
                 doc, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
                 offsets = np.searchsorted(doc, np.arange(len(counts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(word)))
-                hits = pattern_hits(part.column("text"))
-                flags = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * hits.shape[1]), pa.array(hits.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), lists, flags], ["id", "y", "words", "patterns"])
-
-    found = rows.mapInArrow(gather, f"id {docs.schema[id_col].dataType.simpleString()}, y int, words array<string>, patterns array<boolean>").toArrow()
-    order = pc.sort_indices(found.column("id")) if found.num_rows else pa.array([], pa.int64())
-    found = found.take(order).combine_chunks()
-    lists = pa.concat_arrays(found.column("words").chunks) if found.num_rows else pa.array([], pa.list_(pa.string()))
-    coded = lists.flatten().dictionary_encode()
-    hits = np.array(found.column("patterns").to_pylist(), float).reshape(-1, len(PATTERNS))
-    offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))))
-    toxic = found.column("y").to_numpy() > 0
-    del found, lists
-    return fit(coded.indices.to_numpy(), offsets, coded.dictionary.to_pylist(), hits, toxic, **options)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), lists, _flags(pattern_hits(part.column("text")))], ["id", "y", "words", "patterns"])
+        give_back()
+
+    gathered = written(rows.mapInArrow(gather, f"id {docs.schema[id_col].dataType.simpleString()}, y int, words array<string>, patterns array<boolean>"), "toxicity-sample")
+    with small_batches(docs.sparkSession):
+        names = mined(gathered, most=features)
+        wanted = gathered.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+        def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(_present(batch, wanted.value).pairs(max(batch.num_rows, 1)))
+                text, feature = found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+                offsets = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), held, batch.column("patterns")], ["id", "y", "held", "patterns"])
+            give_back()
+
+        own = gathered.mapInArrow(numbers, f"id {docs.schema[id_col].dataType.simpleString()}, y int, held array<int>, patterns array<boolean>").toArrow()
+    if not own.num_rows:
+        return Model()
+    own = own.take(pc.sort_indices(own.column("id"))).combine_chunks()
+    held = own.column("held").combine_chunks()
+    x = np.zeros((own.num_rows, len(names)), bool)
+    x[np.repeat(np.arange(own.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False)), held.flatten().to_numpy()] = True
+    hits = np.array(own.column("patterns").to_pylist(), bool).reshape(-1, len(PATTERNS))
+    return fit(names, x, hits, own.column("y").to_numpy() > 0, **options)
+
+
+def _flags(hits: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1, dtype=np.int32) * hits.shape[1]), pa.array(hits.reshape(-1)))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[Column, ...] = ()) -> DataFrame:
