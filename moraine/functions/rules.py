@@ -50,7 +50,13 @@ def trend_removed(displacement: Column, elevation_m: Column, slope_mm_km: Column
 
 
 def season(day: Column) -> Column:
-    return F.when(F.month(day).isin(*WINTER), "winter").when(F.month(day).isin(*MONSOON), "monsoon").otherwise("shoulder")
+    """Half of the year that a pair is filed under."""
+    return F.when(F.month(day).isin(*WINTER), "winter").otherwise("summer")
+
+
+def wet_season(day: Column) -> Column:
+    """Monsoon or dry: the season that creep rates are compared over."""
+    return F.when(F.month(day).isin(*MONSOON), "monsoon").otherwise("dry")
 
 
 def bucket(ref: Column, sec: Column, event: Column) -> Column:

@@ -42,8 +42,8 @@ def at_least(n: Column, least: int, value: Column) -> Column:
     return F.when(n >= least, value)
 
 
-def percentiles(x: Column, *points: float) -> list[Column]:
-    return [F.percentile(x, F.lit(p)).alias(f"p{round(100 * p):g}") for p in points]
+def percentile_name(point: float) -> str:
+    return f"p{round(100 * point):g}"
 
 
 def coverage(valid: Column, total: Column) -> Column:

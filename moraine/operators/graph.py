@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
@@ -54,7 +55,7 @@ def solve_network(pdf: pd.DataFrame) -> dict:
     """Least squares displacement at each epoch of one connected network, the first fixed at zero, and its linear rate."""
     known = pdf[pdf["value"].notna()]
     epochs = sorted({*pdf["ref"], *pdf["sec"]})
-    out = {"epochs": epochs, "n_pairs": len(known), "rate": np.nan, "dof": None, "sigma": np.nan}
+    out = {"epochs": epochs, "n_pairs": len(known), "rate": np.nan, "rate_error": np.nan, "dof": None, "sigma": np.nan}
     if not len(known) or len(epochs) < 2:
         return out
     place = {e: i for i, e in enumerate(epochs)}
@@ -75,7 +76,10 @@ def solve_network(pdf: pd.DataFrame) -> dict:
     total = np.concatenate(([0.0], found))
     if len(epochs) >= 3:
         days = np.array([(e - epochs[0]).days for e in epochs], float)
-        out["rate"] = float(np.polyfit(days, total, 1)[0])
+        about = days - days.mean()
+        out["rate"] = float(about @ total / (about @ about))
+        off = total - total.mean() - out["rate"] * about
+        out["rate_error"] = float(np.sqrt(off @ off / (len(days) - 2) / (about @ about)))
     return out | {"cumulative": total, "errors": errors, "dof": dof, "rms": float(np.sqrt((left**2).mean()))}
 
 
@@ -90,9 +94,9 @@ def invert_network(pairs: DataFrame, keys: list[str]) -> DataFrame:
         r = solve_network(pdf)
         n = len(r["epochs"])
         names = {k: [pdf[k].iloc[0]] * n for k in keys}
-        return pd.DataFrame(names | {"epoch": r["epochs"], "cumulative": r.get("cumulative", [None] * n), "error": r.get("errors", [None] * n), "dof": [r["dof"]] * n, "rate": [r["rate"]] * n, "sigma": [r["sigma"]] * n})
+        return pd.DataFrame(names | {"epoch": r["epochs"], "cumulative": r.get("cumulative", [None] * n), "error": r.get("errors", [None] * n), "dof": [r["dof"]] * n, "rate": [r["rate"]] * n, "rate_error": [r["rate_error"]] * n, "sigma": [r["sigma"]] * n})
 
-    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"epoch {types['ref']}, cumulative double, error double, dof int, rate double, sigma double"]))
+    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"epoch {types['ref']}, cumulative double, error double, dof int, rate double, rate_error double, sigma double"]))
 
 
 def _parts(pairs: list[tuple]) -> int:
@@ -173,28 +177,57 @@ def grown(mask: DataFrame, row: int, col: int) -> DataFrame:
     return own.join(seed, "component", "left_semi").drop("node", "component")
 
 
-def depressions_filled(dem: DataFrame, rounds: int = 10_000) -> DataFrame:
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One tile's own cells, each lowered as far as the tile's cells and the rim around them allow, lowest cell first."""
+    r0, c0 = pdf["row"].min(), pdf["col"].min()
+    shape = (int(pdf["row"].max() - r0) + 3, int(pdf["col"].max() - c0) + 3)
+    i, j = (pdf["row"] - r0 + 1).to_numpy(int), (pdf["col"] - c0 + 1).to_numpy(int)
+    own = pdf["own"].to_numpy(bool)
+    height, level = np.full(shape, np.inf), np.full(shape, np.inf)
+    height[i[own], j[own]] = pdf["z"].to_numpy(float)[own]
+    level[i, j] = pdf["filled"].to_numpy(float)
+    rows, cols = np.nonzero(np.isfinite(level))
+    queue = sorted(zip(level[rows, cols].tolist(), rows.tolist(), cols.tolist(), strict=True))
+    while queue:
+        v, r, c = heapq.heappop(queue)
+        if v > level[r, c]:
+            continue
+        for a in range(max(r - 1, 0), min(r + 2, shape[0])):
+            for b in range(max(c - 1, 0), min(c + 2, shape[1])):
+                reached = max(height[a, b], v)
+                if reached < level[a, b]:
+                    level[a, b] = reached
+                    heapq.heappush(queue, (reached, a, b))
+    out = pdf.loc[own, ["row", "col", "z", "filled"]].rename(columns={"filled": "was"})
+    out["filled"] = level[i[own], j[own]]
+    return out
+
+
+def depressions_filled(dem: DataFrame, rounds: int = 10_000, tile: int = 128) -> DataFrame:
     """Cells with ``filled``: the least height over which water leaves the grid.
 
-    Starts from the grid's border at its own height and everything else unbounded, and lowers each cell to the greater of
-    its height and its lowest neighbour until nothing changes.  NULL heights are barriers; cells that no path leads out of
-    stay NULL.  Each round looks along whole rows and columns by running windows, so a round carries a level across the grid.
+    Starts from the grid's border at its own height and everything else unbounded.  Every round settles each tile of
+    ``tile`` x ``tile`` cells at once, given the levels of the cells around it, until no tile changes; so the rounds follow
+    the number of tiles that water crosses, not of cells.  NULL heights are barriers; cells that no path leads out of stay
+    NULL.  Levels that still change after ``rounds`` are an error.
     """
     edge = dem.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    border = (F.col("row").isin(F.col("r0"), F.col("r1"))) | (F.col("col").isin(F.col("c0"), F.col("c1")))
     far = F.lit(float("inf"))
-    now = checkpointed(dem.where(F.col("z").isNotNull() & ~F.isnan("z")).crossJoin(F.broadcast(edge)).select("row", "col", "z", F.when((F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1")), F.col("z")).otherwise(far).alias("filled")))
-    del border
-    steps = neighbours(dem.sparkSession)
+    border = (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1"))
+    known = dem.where(F.col("z").isNotNull() & ~F.isnan("z")).crossJoin(F.broadcast(edge))
+    now = checkpointed(known.select("row", "col", F.col("z").cast("double").alias("z"), F.when(border, F.col("z").cast("double")).otherwise(far).alias("filled")))
+    types = dict(dem.dtypes)
+    at = lambda c, k: F.floor((F.col(c) + k) / tile)
+    tiles = F.array_distinct(F.array(*[F.struct(at("row", i).alias("tr"), at("col", j).alias("tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     for _ in range(rounds):
-        near = now.where(F.col("filled") < far).crossJoin(F.broadcast(steps)).select((F.col("row") + F.col("di")).alias("row"), (F.col("col") + F.col("dj")).alias("col"), "filled").groupBy("row", "col").agg(F.min("filled").alias("near"))
-        after = now.join(near, ["row", "col"], "left").select("row", "col", "z", F.col("filled").alias("was"), F.least("filled", F.greatest("z", F.coalesce("near", far))).alias("filled"))
-        after = checkpointed(after)
+        dealt = now.withColumn("_t", F.explode(tiles)).select("row", "col", "z", "filled", F.col("_t.tr").alias("tr"), F.col("_t.tc").alias("tc"))
+        dealt = dealt.withColumn("own", (F.col("tr") == at("row", 0)) & (F.col("tc") == at("col", 0))).where(F.col("own") | (F.col("filled") < far))
+        after = checkpointed(dealt.groupBy("tr", "tc").applyInPandas(_settled, f"row {types['row']}, col {types['col']}, z double, was double, filled double"))
         changed = after.where("filled < was").limit(1).count()
         now = after.select("row", "col", "z", "filled")
         if not changed:
-            break
-    return now.withColumn("filled", F.when(F.col("filled") < far, F.col("filled")))
+            return now.withColumn("filled", F.when(F.col("filled") < far, F.col("filled")))
+    raise RuntimeError(f"levels did not settle in {rounds} rounds")
 
 
 def receivers(filled: DataFrame, dx: float, dy: float, height: str = "filled") -> DataFrame:

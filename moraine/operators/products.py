@@ -22,13 +22,21 @@ def resolve_duplicates(stats: DataFrame, geometry: list[str], pair: list[str], v
     """(kept, dropped) of products of one acquisition pair.
 
     Kept is the value whose size is nearest the median size of the other pairs of its geometry; routine wins a tie.  The
-    median leaves out the pair in question, so it is taken per duplicated pair, over one geometry's rows.
+    median leaves out the pair in question: it stands in the geometry's order of sizes, that pair's places passed over.
     """
     keys = [*geometry, *pair]
     many = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    others = stats.where(F.col(value).isNotNull()).select(*geometry, *[F.col(c).alias(f"_o_{c}") for c in pair], F.abs(value).alias("_size"))
-    away = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"_o_{c}") for c in pair])
-    expected = many.join(others, geometry).where(away).groupBy(*keys).agg(S.median(F.col("_size")).alias("_expect"))
+    known = stats.where(F.col(value).isNotNull()).select(*keys, F.abs(value).alias("_size"))
+    known = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*geometry).orderBy("_size")))
+    totals = known.groupBy(*geometry).agg(F.count(F.lit(1)).alias("_all"))
+    own = known.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_rank")))
+    counts = many.join(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_own")), keys, "left").join(totals, geometry).na.fill(0, ["_own"])
+    others = F.col("_all") - F.col("_own")
+    wanted = counts.where(others > 0).withColumn("_t", F.explode(F.array_distinct(F.array(F.floor((others + 1) / 2), F.floor(others / 2) + 1))))
+    # the t-th of the others has the pair's own members before it whose rank among the others is below t
+    passed = F.count_if(F.col("_rank") - F.col("_place") < F.col("_t"))
+    places = wanted.join(own.select(*keys, "_rank", "_place"), keys, "left").groupBy(*keys, "_t").agg((F.first("_t") + passed).alias("_rank"))
+    expected = places.join(known.select(*geometry, "_rank", "_size"), [*geometry, "_rank"]).groupBy(*keys).agg(F.avg("_size").alias("_expect"))
     joined = stats.join(many.select(*keys, "_n"), keys, "left").join(expected, keys, "left")
     distance = F.abs(F.abs(value) - F.coalesce("_expect", F.lit(0.0)))
     w = Window.partitionBy(*keys).orderBy(distance.asc_nulls_last(), (F.col(processing) != "PR").cast("int"), F.col(value))

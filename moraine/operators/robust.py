@@ -35,8 +35,9 @@ def detection_floor(df: DataFrame, keys: list[str], value: str, span: Column | s
 
 def percentile_profile(df: DataFrame, keys: list[str], value: str, points: Iterable[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles, extremes, largest magnitude and population deviation of each group."""
-    x = S.measured(F.col(value))
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), *S.percentiles(x, *points), F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.abs(x)).alias("max_abs"), F.stddev_pop(x).alias("std"), F.avg(x).alias("mean"))
+    x, points = S.measured(F.col(value)), tuple(points)
+    made = df.groupBy(*keys).agg(F.count(x).alias("n"), F.percentile(x, F.array(*map(F.lit, points))).alias("_p"), F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.abs(x)).alias("max_abs"), F.stddev_pop(x).alias("std"), F.avg(x).alias("mean"))
+    return made.select(*keys, "n", *[F.get("_p", i).alias(S.percentile_name(p)) for i, p in enumerate(points)], "low", "high", "max_abs", "std", "mean")
 
 
 def culled(df: DataFrame, keys: list[str], value: str, sigmas: float = 4.0, least: int = 10) -> DataFrame:

@@ -65,15 +65,15 @@ def stress_test(target: DataFrame, area: DataFrame, wavelength_m: float = R.WAVE
     """Local rates (target minus area) by direction and season with the rate at which phase wraps between passes."""
     joined = target.join(area, (target["ref"] == area["reference"]) & (target["sec"] == area["secondary"]))
     days = F.datediff("sec", "ref")
-    g = joined.groupBy("direction", R.season(F.col("ref")).alias("season")).agg(F.count(F.lit(1)).alias("pairs"), F.try_divide(F.sum(F.col("mm") - F.col("area_mm")), F.sum(days)).alias("rate"))
+    g = joined.groupBy("direction", R.wet_season(F.col("ref")).alias("season")).agg(F.count(F.lit(1)).alias("pairs"), F.try_divide(F.sum(F.col("mm") - F.col("area_mm")), F.sum(days)).alias("rate"))
     ceiling = wavelength_m / 4 * 1000 / repeat_days
     return g.withColumn("ceiling", F.lit(ceiling)).withColumn("above_ceiling", F.abs("rate") > ceiling)
 
 
 def seasonal(rates: DataFrame) -> DataFrame:
-    """Per direction, winter and monsoon rates and whether the monsoon's is below four tenths of the dry season's."""
+    """Per direction, dry season and monsoon rates and whether the monsoon's is below four tenths of the dry season's."""
     of = lambda s: F.max(F.when(F.col("season") == s, F.col("rate")))
-    out = rates.groupBy("direction").agg(of("winter").alias("dry"), of("monsoon").alias("monsoon"))
+    out = rates.groupBy("direction").agg(of("dry").alias("dry"), of("monsoon").alias("monsoon"))
     return out.withColumn("monsoon_weaker", F.abs("monsoon") < 0.4 * F.abs("dry"))
 
 

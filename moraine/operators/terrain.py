@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import stats as S
+from .robust import robust_sigma
 from .graph import checkpointed, flow_accumulation, depressions_filled, receivers, upstream_pairs
 
 
@@ -47,30 +49,41 @@ def elevation_fit(samples: DataFrame, keys: list[str], elevation_m: str, value:
     """Displacement against elevation: slope per km, intercept, r, reach of the fit, p; ``usable`` false below ``least``.
 
     With ``clip``, each pass fits what the pass before left within that many robust sigmas of the residuals' median, which
-    are taken over all samples.  Every pass is an aggregate joined back, so no group is one task's.
+    are taken over all samples.  A pass is three aggregations over the samples; each leaves one row for a key, which is
+    checkpointed, so a plan has one scan, and whether a row is kept is worked out from those rows alone.
     """
-    rows = samples.where(S.finite(F.col(elevation_m)) & S.finite(F.col(value))).select(*keys, (F.col(elevation_m) / 1000).alias("e"), F.col(value).alias("d")).withColumn("keep", F.lit(True))
-    back = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.crossJoin(b))
-
-    def line(df: DataFrame) -> DataFrame:
-        e, d = F.when(F.col("keep"), F.col("e")), F.when(F.col("keep"), F.col("d"))
-        out = df.groupBy(*keys).agg(F.count(e).alias("_n"), F.regr_slope(d, e).alias("s_kept"), F.regr_intercept(d, e).alias("i_kept"), F.regr_slope("d", "e").alias("s_all"), F.regr_intercept("d", "e").alias("i_all"))
+    rows = samples.where(S.finite(F.col(elevation_m)) & S.finite(F.col(value))).select(*keys, (F.col(elevation_m) / 1000).alias("e"), F.col(value).alias("d"))
+
+    def beside(df: DataFrame, small: DataFrame) -> DataFrame:
+        small = checkpointed(small)
+        named = [small[k].alias(f"_k_{k}") for k in keys]
+        other = small.select(*named, *[c for c in small.columns if c not in keys])
+        if not keys:
+            return df.crossJoin(other)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        return df.join(other, same).drop(*[f"_k_{k}" for k in keys])
+
+    keep, parts = F.lit(True), []
+    for k in range(passes if clip else 0):
+        e, d = F.when(keep, F.col("e")), F.when(keep, F.col("d"))
+        line = rows.groupBy(*keys).agg(F.count(e).alias("_n"), F.regr_slope(d, e).alias("s_kept"), F.regr_intercept(d, e).alias("i_kept"), F.regr_slope("d", "e").alias("s_all"), F.regr_intercept("d", "e").alias("i_all"))
         enough = F.col("_n") >= least
-        return out.select(*keys, F.when(enough, F.col("s_kept")).otherwise(F.col("s_all")).alias("_s"), F.when(enough, F.col("i_kept")).otherwise(F.col("i_all")).alias("_i"), enough.alias("_enough"))
-
-    for _ in range(passes if clip else 0):
-        rows = back(rows, line(rows)).withColumn("res", F.col("d") - F.col("_s") * F.col("e") - F.col("_i"))
-        middle = rows.groupBy(*keys).agg(S.median(F.col("res")).alias("_m"))
-        rows = back(rows, middle).withColumn("dev", F.abs(F.col("res") - F.col("_m")))
-        scale = rows.groupBy(*keys).agg(S.sigma_of_deviation(F.col("dev")).alias("_scale"))
-        rows = back(rows, scale).select(*keys, "e", "d", F.when(F.col("_enough") & (F.col("_scale") > 0), F.col("dev") <= clip * F.col("_scale")).otherwise(F.lit(True)).alias("keep"))
-    counts = rows.groupBy(*keys).agg(F.count_if("keep").alias("_kept"))
-    rows = back(rows, counts).withColumn("keep", F.col("keep") | (F.col("_kept") < least))
-    e, d = F.when(F.col("keep"), F.col("e")), F.when(F.col("keep"), F.col("d"))
+        line = line.select(*keys, F.when(enough, F.col("s_kept")).otherwise(F.col("s_all")).alias(f"_s{k}"), F.when(enough, F.col("i_kept")).otherwise(F.col("i_all")).alias(f"_i{k}"), enough.alias(f"_enough{k}"))
+        rows = beside(rows, line)
+        residual = F.col("d") - F.col(f"_s{k}") * F.col("e") - F.col(f"_i{k}")
+        rows = beside(rows, rows.groupBy(*keys).agg(S.median(residual).alias(f"_m{k}")))
+        deviation = F.abs(residual - F.col(f"_m{k}"))
+        rows = beside(rows, rows.groupBy(*keys).agg(S.sigma_of_deviation(deviation).alias(f"_scale{k}")))
+        parts.append(F.when(F.col(f"_enough{k}") & (F.col(f"_scale{k}") > 0), deviation <= clip * F.col(f"_scale{k}")).otherwise(F.lit(True)))
+        keep = parts[-1]
+    if clip:
+        rows = beside(rows, rows.groupBy(*keys).agg(F.count_if(keep).alias("_kept")))
+        keep = keep | (F.col("_kept") < least)
+    e, d = F.when(keep, F.col("e")), F.when(keep, F.col("d"))
     fit = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count(e).alias("n_used"), F.regr_slope(d, e).alias("slope_mm_per_km"), F.regr_intercept(d, e).alias("intercept_mm"), F.corr(d, e).alias("r"),
-        (1000 * (F.max(e) - F.min(e))).alias("elev_range_m"), (1000 * (F.percentile(e, F.lit(0.75)) - F.percentile(e, F.lit(0.25)))).alias("elev_iqr_m"),
-    )
+        (1000 * (F.max(e) - F.min(e))).alias("elev_range_m"), F.percentile(e, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
+    ).withColumn("elev_iqr_m", 1000 * (F.get("_q", 1) - F.get("_q", 0))).drop("_q")
     usable = (F.col("n") >= least) & (F.col("elev_range_m") > 0)
     t = F.abs("r") * F.sqrt((F.col("n_used") - 2) / (1 - F.col("r") * F.col("r")))
     p = F.when((F.abs("r") < 1) & (F.col("n_used") > 2), S.erfc(t / math.sqrt(2.0)))
@@ -78,18 +91,40 @@ def elevation_fit(samples: DataFrame, keys: list[str], elevation_m: str, value:
     return fit.withColumns({k: F.when(usable, v) for k, v in own.items()}).withColumn("usable", usable)
 
 
-def plane_fit(pixels: DataFrame, keys: list[str], value: str, least: int = 5000) -> DataFrame:
-    """a + b col + c row by the normal equations about the means, from all pixels; NULL at or below ``least``."""
+def scatter_before_after(samples: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Population deviation and robust sigma of the measured values of two columns: what a correction did to either."""
+    out = None
+    for name in (before, after):
+        x = S.measured(F.col(name))
+        std = samples.groupBy(*keys).agg(F.stddev_pop(x).alias(f"{name}_std"))
+        mad = robust_sigma(samples, keys, name).select(*keys, F.col("sigma").alias(f"{name}_mad"))
+        both = std.join(mad, keys) if keys else std.crossJoin(mad)
+        out = both if out is None else out.join(both, keys) if keys else out.crossJoin(both)
+    return out
+
+
+def plane_fit(pixels: DataFrame, keys: list[str], value: str, least: int = 5000, stable: Column | None = None, clip: float | None = 4.0) -> DataFrame:
+    """a + b col + c row by the normal equations about the means; NULL where no more than ``least`` pixels are stable.
+
+    Only measured pixels where ``stable`` holds are fitted (ground outside the area, so that no plane is fitted to the
+    signal), of them those within ``clip`` robust sigmas of their group's median.
+    """
     x, y, z = F.col("col").cast("double"), F.col("row").cast("double"), S.measured(F.col(value))
-    ok = pixels.where(S.finite(F.col(value)))
-    s = ok.groupBy(*keys).agg(
+    ok = pixels.where(S.finite(F.col(value)) & (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))))
+    on = (lambda a, b, how="inner": a.join(b, keys, how)) if keys else (lambda a, b, how="inner": a.crossJoin(b))
+    sizes = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("_stable"))
+    core = ok
+    if clip:
+        scale = robust_sigma(ok, keys, value).select(*keys, F.col("median").alias("_median"), F.col("sigma").alias("_sigma"))
+        core = on(ok, scale).where(F.abs(F.col(value) - F.col("_median")) <= clip * F.col("_sigma"))
+    s = core.groupBy(*keys).agg(
         F.count(z).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"),
         F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"),
     )
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    enough = (F.col("n") > least) & (det > 0)
+    enough = (F.col("_stable") > least) & (det > 0)
     b, c = (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det, (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det
-    return s.select(*keys, "n", F.when(enough, F.col("mz") - b * F.col("mx") - c * F.col("my")).alias("a"), F.when(enough, b).alias("b"), F.when(enough, c).alias("c"))
+    return on(s, sizes).select(*keys, "n", F.when(enough, F.col("mz") - b * F.col("mx") - c * F.col("my")).alias("a"), F.when(enough, b).alias("b"), F.when(enough, c).alias("c"))
 
 
 def deramped(pixels: DataFrame, fits: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -202,9 +237,19 @@ def _away(sites: DataFrame, near: Callable[..., bool], taken: list[tuple[int, fl
     return sites.mapInPandas(keep, sites.schema)
 
 
-def site_rank(sites: DataFrame, by: str = "efficiency") -> DataFrame:
+def site_rank(sites: DataFrame, by: str = "efficiency", ties: tuple[str, ...] = ()) -> DataFrame:
+    """``rank`` of each site in the order of :func:`ranked_sites`, equal ones by the columns ``ties``.
+
+    Sites are dealt by ranges of the order; a site's rank is its place in its range after the ranges before, so no task
+    sees all of them.
+    """
     order = [F.asc("threshold_height_m"), F.desc("efficiency_Mm3_per_m")] if by == "efficiency" else [F.desc("max_volume_Mm3")]
-    return sites.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    order += [F.asc(c) for c in ties]
+    dealt = checkpointed(sites.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("rank", (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
 
 
 def lag_autocorrelation(pixels: DataFrame, value: str, axis: str, most: int = 60) -> DataFrame:

@@ -10,11 +10,11 @@ from ..operators import products as P
 from ..tables import load
 from .registry import query
 
-_D = "d AS (SELECT l_linestatus AS geometry, l_suppkey AS pair, l_extendedprice - 50000 AS value, CASE WHEN l_linenumber % 2 = 1 THEN 'PR' ELSE 'UR' END AS processing FROM lineitem WHERE l_quantity = 50 AND l_discount <= 0.02)"
+_D = "d AS (SELECT l_linestatus AS geometry, l_suppkey AS pair, l_extendedprice - 50000 AS value, CASE WHEN l_linenumber % 2 = 1 THEN 'PR' ELSE 'UR' END AS processing FROM lineitem)"
 
 
-def _stats(spark: SparkSession, sf_dir: str, part: str = "l_quantity = 50 AND l_discount <= 0.02") -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").where(part)
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_linestatus").alias("geometry"), F.col("l_suppkey").alias("pair"), (F.col("l_extendedprice") - 50000).alias("value"), F.when(F.col("l_linenumber") % 2 == 1, "PR").otherwise("UR").alias("processing"))
 
 
@@ -25,23 +25,12 @@ def duplicate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("geometry", "pair", "processing", F.round("value", 2).alias("value"))
 
 
-@query()
-def duplicate_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = P.resolve_duplicates(_stats(spark, sf_dir, "true"), ["geometry"], ["pair"], "value", "processing")
-    return kept.select("geometry", "pair", "processing", F.round("value", 2).alias("value"))
-
-
 @query(f"""WITH {_D}, g AS (SELECT geometry, pair, count(*) AS products, count(value) AS measured, max(value) - min(value) AS spread, (max(value) - min(value)) / 5000.0 AS f FROM d GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT geometry, pair, products, measured, round(spread, 2) AS spread, round(f, 6) AS fringes, CASE WHEN abs(f - round_even(f, 0)) < 0.25 AND round_even(f, 0) >= 1 THEN 'unwrapping ambiguity' WHEN spread > 2500 THEN 'large, no whole fringe' ELSE 'consistent' END AS verdict FROM g""")
 def duplicate_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.consistency(_stats(spark, sf_dir), ["geometry", "pair"], "value", F.lit(5000.0)).withColumns({"spread": F.round("spread", 2), "fringes": F.round("fringes", 6)})
 
 
-@query()
-def duplicate_consistency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.consistency(_stats(spark, sf_dir, "true"), ["geometry", "pair"], "value", F.lit(5000.0)).withColumns({"spread": F.round("spread", 2), "fringes": F.round("fringes", 6)})
-
-
 @query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS z FROM lineitem)
 SELECT l_suppkey, max(CASE WHEN a = 1 THEN l_orderkey END) AS first_order, max(CASE WHEN z = 1 THEN l_orderkey END) AS last_order FROM r GROUP BY 1""")
 def dedupe_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +55,7 @@ def sampling_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sampling_gap(dates, ["track"], "day")
 
 
-@query("""SELECT CASE WHEN month(o_orderdate) IN (11, 12, 1, 2, 3) THEN 'winter' WHEN month(o_orderdate) IN (6, 7, 8, 9) THEN 'monsoon' ELSE 'shoulder' END AS season, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
+@query("""SELECT CASE WHEN month(o_orderdate) IN (11, 12, 1, 2, 3) THEN 'winter' ELSE 'summer' END AS season, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
 def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.bucket_counts(load(spark, sf_dir, "orders").withColumn("season", R.season(F.col("o_orderdate"))), "season", "o_orderstatus", ["F", "O", "P"])
 

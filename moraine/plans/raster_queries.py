@@ -20,14 +20,12 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(load(spark, sf_dir, "embeddings"))
 
 
-def _dem(spark: SparkSession, sf_dir: str, rows: int | None = None, cols: int | None = None) -> DataFrame:
-    """The raster as heights, or a corner of it: a stated small grid for the recursive SQL to walk."""
-    heights = _pixels(spark, sf_dir).select("row", "col", F.round(F.col("value") * 1000, 1).alias("z"))
-    return heights if rows is None else heights.where((F.col("row") < rows) & (F.col("col") < cols))
+def _dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster as heights."""
+    return _pixels(spark, sf_dir).select("row", "col", F.round(F.col("value") * 1000, 1).alias("z"))
 
 
-def _dem_sql(rows: int, cols: int) -> str:
-    return f"z AS (SELECT row, col, round(value * 1000, 1) AS z FROM p WHERE row < {rows} AND col < {cols})"
+_DEM = "z AS (SELECT row, col, round(value * 1000, 1) AS z FROM p)"
 
 
 @query(f"""WITH {_P}, s AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM p), b AS (SELECT row // 8 AS r, col // 8 AS c, median(value) AS m, count(*) AS n FROM p, s WHERE row // 8 < h // 8 AND col // 8 < w // 8 GROUP BY 1, 2 HAVING count(*) >= 30),
@@ -81,7 +79,7 @@ def reference_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHIFT = "x AS (SELECT max(row) AS r1, max(col) AS c1 FROM z), n AS (SELECT a.row, a.col, i, j, b.z AS v FROM z a, x, (VALUES (-1), (0), (1)) AS t(i), (VALUES (-1), (0), (1)) AS u(j), z b WHERE b.row = least(greatest(a.row + i, 0), r1) AND b.col = least(greatest(a.col + j, 0), c1))"
 
 
-@query(f"""WITH {_P}, {_dem_sql(500, 64)}, {_SHIFT}, g AS (SELECT row, col, sum(v * j * CASE WHEN i = 0 THEN 2 ELSE 1 END) / 640 AS e, sum(-v * i * CASE WHEN j = 0 THEN 2 ELSE 1 END) / 640 AS n FROM n GROUP BY 1, 2)
+@query(f"""WITH {_P}, {_DEM}, {_SHIFT}, g AS (SELECT row, col, sum(v * j * CASE WHEN i = 0 THEN 2 ELSE 1 END) / 640 AS e, sum(-v * i * CASE WHEN j = 0 THEN 2 ELSE 1 END) / 640 AS n FROM n GROUP BY 1, 2)
 SELECT row, col, round(degrees(atan(sqrt(e * e + n * n))), 4) AS slope FROM g""")
 def horn_slope_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.slope_aspect(_dem(spark, sf_dir), "z", 80.0, 80.0).select("row", "col", F.round("slope", 4).alias("slope"))
@@ -91,35 +89,39 @@ _STEPS = "t AS (SELECT * FROM (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0
 _RECV = _STEPS + ", s AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, step, (a.z - b.z) / CASE WHEN di = 0 OR dj = 0 THEN 80 ELSE sqrt(2) * 80 END AS slope FROM z a, t JOIN z b ON b.row = a.row + di AND b.col = a.col + dj), f AS (SELECT row, col, to_row, to_col, slope FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY slope DESC, step) AS k FROM s WHERE slope > 0) WHERE k = 1)"
 
 
-@query(f"WITH {_P}, {_dem_sql(500, 64)}, {_RECV} SELECT row, col, to_row, to_col, round(slope, 6) AS slope FROM f".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
+@query(f"WITH {_P}, {_DEM}, {_RECV} SELECT row, col, to_row, to_col, round(slope, 6) AS slope FROM f".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
 def d8_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.receivers(_dem(spark, sf_dir), 80.0, 80.0, "z").withColumn("slope", F.round("slope", 6))
 
 
-@query(f"WITH RECURSIVE {_P}, {_dem_sql(16, 16)}, {_RECV}, up AS (SELECT row, col, row AS ur, col AS uc FROM z UNION ALL SELECT f.to_row, f.to_col, up.ur, up.uc FROM up JOIN f ON f.row = up.row AND f.col = up.col) SELECT row, col, count(*) AS acc FROM up GROUP BY 1, 2".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
+@query(f"WITH RECURSIVE {_P}, {_DEM}, {_RECV}, up AS (SELECT row, col, row AS ur, col AS uc FROM z UNION ALL SELECT f.to_row, f.to_col, up.ur, up.uc FROM up JOIN f ON f.row = up.row AND f.col = up.col) SELECT row, col, count(*) AS acc FROM up GROUP BY 1, 2".replace("z a, t JOIN z b ON", "z a JOIN t ON true JOIN z b ON"))
 def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dem = _dem(spark, sf_dir, 16, 16)
-    return T.flow_accumulation(T.receivers(dem, 80.0, 80.0, "z"), dem)
-
-
-@query()
-def flow_accumulation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     dem = _dem(spark, sf_dir)
     return T.flow_accumulation(T.receivers(dem, 80.0, 80.0, "z"), dem)
 
 
-@query()
+# each round lowers a cell to the greater of its height and its lowest neighbour
+@query(f"""WITH RECURSIVE {_P}, {_DEM}, x AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM z),
+w(row, col, filled) USING KEY (row, col) AS (SELECT row, col, CASE WHEN row IN (r0, r1) OR col IN (c0, c1) THEN z ELSE CAST('inf' AS DOUBLE) END FROM z, x
+UNION SELECT a.row, a.col, min(greatest(a.z, n.filled)) FROM w AS n, (VALUES (-1), (0), (1)) AS t(i), (VALUES (-1), (0), (1)) AS u(j), z AS a, recurring.w AS o WHERE n.filled < CAST('inf' AS DOUBLE) AND a.row = n.row + i AND a.col = n.col + j AND o.row = a.row AND o.col = a.col AND greatest(a.z, n.filled) < o.filled GROUP BY a.row, a.col)
+SELECT w.row, w.col, CASE WHEN z = 0 THEN 0.0 ELSE z END AS z, CASE WHEN filled = 0 THEN 0.0 ELSE filled END AS filled FROM w JOIN z ON z.row = w.row AND z.col = w.col""")
 def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.depressions_filled(_dem(spark, sf_dir))
+    unsigned = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c)
+    return T.depressions_filled(_dem(spark, sf_dir)).select("row", "col", unsigned("z"), unsigned("filled"))
 
 
 @query()
 def impoundment_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = T.impoundments(_dem(spark, sf_dir), [10.0, 50.0, 100.0], 80.0, 80.0, least_cells=8)
-    return T.site_rank(sites.drop("by_height").withColumn("responses", F.lit(1)))
+    return T.site_rank(sites.drop("by_height"), ties=("row", "col"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT p_partkey, 28 + (p_partkey * 7 % 1000) / 5000.0 AS lat, 85 + (p_partkey * 13 % 1000) / 5000.0 AS lon, 10.0 * (1 + p_size % 5) AS threshold_height_m, p_retailprice / 1000 AS efficiency_Mm3_per_m FROM part),
+o AS (SELECT *, row_number() OVER (ORDER BY threshold_height_m, efficiency_Mm3_per_m DESC, p_partkey) AS rn FROM s),
+k AS (SELECT 1 AS n, rn, [struct_pack(lat := lat, lon := lon)] AS kept FROM o WHERE rn = 1
+UNION ALL SELECT x.n + 1, x.rn, list_append(x.kept, struct_pack(lat := o.lat, lon := o.lon)) FROM (SELECT k.n, k.kept, min(o.rn) AS rn FROM k JOIN o ON o.rn > k.rn
+ WHERE k.n < 12 AND len(list_filter(k.kept, lambda t: sqrt(((o.lat - t.lat) * 110.57) ** 2 + ((o.lon - t.lon) * 111.32 * cos(radians(o.lat))) ** 2) < 1.5)) = 0 GROUP BY k.n, k.kept) AS x JOIN o ON o.rn = x.rn)
+SELECT o.* EXCLUDE (rn) FROM o JOIN k ON k.rn = o.rn""")
 def nms_top_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "part")
     sites = p.select("p_partkey", (28 + (F.col("p_partkey") * 7 % 1000) / 5000).alias("lat"), (85 + (F.col("p_partkey") * 13 % 1000) / 5000).alias("lon"), (10.0 * (1 + F.col("p_size") % 5)).alias("threshold_height_m"), (F.col("p_retailprice") / 1000).alias("efficiency_Mm3_per_m"))
@@ -128,10 +130,8 @@ def nms_top_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 5, p_retailprice DESC, p_partkey) AS rank FROM part")
 def dam_site_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     sites = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("threshold_height_m"), F.col("p_retailprice").alias("efficiency_Mm3_per_m"))
-    return sites.select("p_partkey", F.row_number().over(Window.orderBy("threshold_height_m", F.desc("efficiency_Mm3_per_m"), "p_partkey")).alias("rank"))
+    return T.site_rank(sites, ties=("p_partkey",)).select("p_partkey", "rank")
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity / 1000), 2) AS slope_mm_per_km, round(regr_intercept(l_extendedprice, l_quantity / 1000), 2) AS intercept_mm, round(corr(l_extendedprice, l_quantity / 1000), 6) AS r FROM lineitem GROUP BY 1")
@@ -151,10 +151,12 @@ def elevation_trend_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("l_returnflag", "n_used", F.round("slope_mm_per_km", 2).alias("slope_mm_per_km"), F.round("r", 6).alias("r"))
 
 
-@query(f"""WITH {_P}, s AS (SELECT count(*) AS n, avg(col) AS mx, avg(row) AS my, avg(value) AS mz, var_pop(col) AS xx, var_pop(row) AS yy, covar_pop(col, row) AS xy, covar_pop(col, value) AS xz, covar_pop(row, value) AS yz FROM p)
+@query(f"""WITH {_P}, o AS (SELECT * FROM p WHERE NOT (row BETWEEN 40 AND 80 AND col BETWEEN 10 AND 30)), m AS (SELECT median(value) AS m FROM o), d AS (SELECT any_value(m) AS m, 1.4826 * median(abs(value - m)) AS s FROM o, m), k AS (SELECT o.* FROM o, d WHERE abs(value - m) <= 2 * s),
+s AS (SELECT count(*) AS n, avg(col) AS mx, avg(row) AS my, avg(value) AS mz, var_pop(col) AS xx, var_pop(row) AS yy, covar_pop(col, row) AS xy, covar_pop(col, value) AS xz, covar_pop(row, value) AS yz FROM k)
 SELECT n, round((xz * yy - yz * xy) / (xx * yy - xy * xy) * 1e6, 4) AS b_scaled, round((yz * xx - xz * xy) / (xx * yy - xy * xy) * 1e6, 4) AS c_scaled FROM s""")
 def plane_fit_deramp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = T.plane_fit(_pixels(spark, sf_dir), [], "value")
+    area = F.col("row").between(40, 80) & F.col("col").between(10, 30)
+    fit = T.plane_fit(_pixels(spark, sf_dir), [], "value", stable=~area, clip=2.0)
     return fit.select("n", F.round(F.col("b") * 1e6, 4).alias("b_scaled"), F.round(F.col("c") * 1e6, 4).alias("c_scaled"))
 
 
@@ -164,35 +166,22 @@ def lag_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lag_autocorrelation(_pixels(spark, sf_dir), "value", "col", 8).select(F.col("lag").cast("int").alias("lag"), F.round("correlation", 6).alias("correlation"))
 
 
-@query(f"""WITH {_P}, {_dem_sql(500, 64)}, q AS (SELECT row AS k, row + 0.25 AS y, col + 0.5 AS x, row, col FROM z WHERE col % 9 = 0 AND row < 499 AND col < 63)
-SELECT q.k, q.x, round(0.75 * (0.5 * a.z + 0.5 * b.z) + 0.25 * (0.5 * c.z + 0.5 * d.z), 6) AS z FROM q JOIN z a ON a.row = q.row AND a.col = q.col JOIN z b ON b.row = q.row AND b.col = q.col + 1 JOIN z c ON c.row = q.row + 1 AND c.col = q.col JOIN z d ON d.row = q.row + 1 AND d.col = q.col + 1""")
+@query(f"""WITH {_P}, {_DEM} SELECT q.row AS k, q.col + 0.5 AS x, round(0.75 * (0.5 * q.z + 0.5 * b.z) + 0.25 * (0.5 * c.z + 0.5 * d.z), 6) AS z FROM z q LEFT JOIN z b ON b.row = q.row AND b.col = q.col + 1 LEFT JOIN z c ON c.row = q.row + 1 AND c.col = q.col LEFT JOIN z d ON d.row = q.row + 1 AND d.col = q.col + 1""")
 def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dem = _dem(spark, sf_dir, 500, 64)
-    points = dem.where("col % 9 = 0 AND row < 499 AND col < 63").select(F.col("row").alias("k"), (F.col("row") + 0.25).alias("y"), (F.col("col") + 0.5).alias("x"))
-    return T.bilinear(points, dem, "x", "y", "z").select("k", "x", F.round("z", 6).alias("z"))
-
-
-@query()
-def bilinear_resample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point in every cell; NULL where the raster ends beside it."""
     dem = _dem(spark, sf_dir)
     points = dem.select(F.col("row").alias("k"), (F.col("row") + 0.25).alias("y"), (F.col("col") + 0.5).alias("x"))
     return T.bilinear(points, dem, "x", "y", "z").select("k", "x", F.round("z", 6).alias("z"))
 
 
-_MASK = "c AS (SELECT row, col, value FROM p WHERE value > 0.17 AND row < 120)"
+_MASK = "c AS (SELECT row, col, value FROM p WHERE value > 0.17)"
 
 
 @query(f"""WITH RECURSIVE {_P}, {_MASK}, k AS (SELECT a.row * 64 + a.col AS a, b.row * 64 + b.col AS b FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1), reach AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM reach r JOIN k ON r.b = k.a),
 l AS (SELECT a, min(b) AS component FROM reach GROUP BY 1), n AS (SELECT component, count(*) AS n_px FROM l GROUP BY 1 HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (ORDER BY n_px DESC, component) AS cluster FROM n)
 SELECT r.cluster, any_value(r.n_px) AS n_px, round(avg(c.row), 6) AS row_centre, round(sum(abs(value) * c.col) / sum(abs(value)), 6) AS col_weighted, max(c.row) - min(c.row) + 1 AS height, max(c.col) - min(c.col) + 1 AS width, round(median(value), 6) AS change_median FROM c JOIN l ON l.a = c.row * 64 + c.col JOIN r USING (component) GROUP BY 1""")
 def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster_rows(_pixels(spark, sf_dir).where("row < 120"))
-
-
-@query()
-def connected_clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster_rows(_pixels(spark, sf_dir))
+        return _cluster_rows(_pixels(spark, sf_dir))
 
 
 def _cluster_rows(pixels: DataFrame) -> DataFrame:

@@ -105,20 +105,11 @@ def chain_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series", "n", F.round("velocity", 6).alias("velocity"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("""WITH p AS (SELECT l_suppkey % 20 AS track, l_orderkey, l_linenumber, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_quantity END AS d FROM lineitem WHERE l_discount = 0.1),
+@query("""WITH p AS (SELECT l_suppkey % 20 AS track, l_orderkey, l_linenumber, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_quantity END AS d FROM lineitem),
 w AS (SELECT *, sum(d) OVER k AS c, bool_and(d IS NOT NULL) OVER k AS ok FROM p WINDOW k AS (PARTITION BY track ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING))
 SELECT track, l_orderkey, l_linenumber, CASE WHEN ok THEN c END AS cumulative FROM w""")
 def cumulative_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gap_sums(load(spark, sf_dir, "lineitem").where("l_discount = 0.1"))
-
-
-@query()
-def cumulative_with_gaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gap_sums(load(spark, sf_dir, "lineitem"))
-
-
-def _gap_sums(items: DataFrame) -> DataFrame:
-    p = items.select((F.col("l_suppkey") % 20).alias("track"), "l_orderkey", "l_linenumber", F.when(F.col("l_tax") != 0.08, F.col("l_quantity")).alias("d"), F.struct("l_orderkey", "l_linenumber").alias("ref"))
+    p = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("track"), "l_orderkey", "l_linenumber", F.when(F.col("l_tax") != 0.08, F.col("l_quantity")).alias("d"), F.struct("l_orderkey", "l_linenumber").alias("ref"))
     return V.accumulated(p, ["track"], "d").select("track", "l_orderkey", "l_linenumber", "cumulative")
 
 
@@ -150,30 +141,21 @@ def epoch_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.merge_gaps(s, ["series"]).select("series", "epoch", "gap_days", "days_from_start", "last_before_event")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS track, CAST(l_shipdate AS DATE) AS ref, CAST(l_shipdate AS DATE) + CAST(7 + l_suppkey % 3 AS INTEGER) AS sec FROM lineitem WHERE l_quantity > 45),
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS track, CAST(l_shipdate AS DATE) AS ref, CAST(l_shipdate AS DATE) + CAST(7 + l_suppkey % 3 AS INTEGER) AS sec FROM lineitem),
 c AS (SELECT *, CASE WHEN lag(sec) OVER (PARTITION BY track ORDER BY ref, sec) = ref THEN 0 ELSE 1 END AS start FROM p) SELECT track, count(*) AS pairs, CAST(sum(start) AS BIGINT) AS chains FROM c GROUP BY 1""")
 def chain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain_counts(load(spark, sf_dir, "lineitem").where("l_quantity > 45"))
-
-
-@query()
-def chain_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain_counts(load(spark, sf_dir, "lineitem"))
-
-
-def _chain_counts(items: DataFrame) -> DataFrame:
     ref = F.to_date("l_shipdate")
-    p = items.select(F.col("l_suppkey").alias("track"), ref.alias("ref"), F.date_add(ref, (7 + F.col("l_suppkey") % 3).cast("int")).alias("sec")).distinct()
+    p = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), ref.alias("ref"), F.date_add(ref, (7 + F.col("l_suppkey") % 3).cast("int")).alias("sec")).distinct()
     return V.chains(p, ["track"]).groupBy("track").agg(F.count(F.lit(1)).alias("pairs"), F.max("chain").alias("chains"))
 
 
-_E = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)"
-_C = _E + ", k AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT a, a AS b FROM k UNION SELECT r.a, k.b FROM reach r JOIN k ON r.b = k.a), c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"
+_E = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), k AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+# labels by node: each round lowers a node's label to its neighbours' least
+_C = _E + ", c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM k UNION SELECT k.a, min(x.component) FROM c AS x JOIN k ON k.b = x.node JOIN recurring.c AS o ON o.node = k.a WHERE x.component < o.component GROUP BY k.a)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, part: str = "l_quantity = 50 AND l_discount = 0.1") -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").where(part)
-    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("ref"), F.concat(F.lit("s"), "l_suppkey").alias("sec")).distinct()
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("ref"), F.concat(F.lit("s"), "l_suppkey").alias("sec")).distinct()
 
 
 @query(f"WITH RECURSIVE {_C} SELECT node, component FROM c")
@@ -181,23 +163,12 @@ def network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(_edges(spark, sf_dir), "ref", "sec")
 
 
-@query()
-def network_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(_edges(spark, sf_dir, "true"), "ref", "sec")
-
-
 @query(f"WITH RECURSIVE {_C} SELECT component, count(DISTINCT e.a) + count(DISTINCT e.b) AS epochs, count(*) AS pairs, count(*) - (count(DISTINCT e.a) + count(DISTINCT e.b) - 1) AS redundancy FROM e JOIN c ON c.node = e.a GROUP BY 1")
 def network_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     return graph.redundancy(edges, [], "ref", "sec", graph.connected_components(edges, "ref", "sec")).select("component", "epochs", "pairs", "redundancy")
 
 
-@query()
-def network_redundancy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, "true")
-    return graph.redundancy(edges, [], "ref", "sec", graph.connected_components(edges, "ref", "sec")).select("component", "epochs", "pairs", "redundancy")
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring and next-but-one epochs as measured pairs, with a loop misfit."""
     from pyspark.sql import Window
@@ -211,7 +182,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def network_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.invert_network(_pairs(spark, sf_dir), ["series"]).withColumns({c: F.round(c, 6) for c in ("cumulative", "error", "rate", "sigma")})
+    return graph.invert_network(_pairs(spark, sf_dir), ["series"]).withColumns({c: F.round(c, 6) for c in ("cumulative", "error", "rate", "rate_error", "sigma")})
 
 
 @query()

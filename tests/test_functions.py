@@ -37,7 +37,7 @@ def test_maturity_needs_both_dates(spark, ref, sec, want):
 
 def test_three_boundaries_differ(spark):
     event = day("2026-08-26")
-    assert one(spark, R.bucket(day("2026-08-14"), event, event)) == ["2026-08_monsoon"]
+    assert one(spark, R.bucket(day("2026-08-14"), event, event)) == ["2026-08_summer"]
     assert one(spark, R.bucket(day("2026-08-14"), day("2026-08-27"), event)) == ["co_event"]
     assert one(spark, R.covers_pre_event(day("2026-08-14"), event, event)) == [False]
     assert one(spark, R.covers_pre_event(day("2026-06-27"), day("2026-08-25"), event)) == [True]
@@ -98,6 +98,11 @@ def test_ring_is_half_open(spark):
 def test_redaction(spark):
     got = one(spark, N.redacted(F.lit('GET https://x.y/z?token=1  {"api_key": "s3 cret", "n": 1} password=abc;')))[0]
     assert got == 'GET [URL] {"api_key": [REDACTED], "n": 1} password=[REDACTED];'
+    nested = '{"token": ["aaa", "SECRETB"], "a": [{"Client-Secret": {"x": 1}, "b": "c d"}], "url": "https://x.y/?q"}'
+    texts = [(nested,), ("my_token : 'a b', x=1",), ('{"password": "unclosed',), ("Set-Cookie=abc; key=1 api key=2",), ("",), (None,), ("cookie=",)]
+    assert one(spark, N.redacted(F.col("t")), texts, "t string") == [
+        '{"token":"[REDACTED]","a":[{"Client-Secret":"[REDACTED]","b":"c d"}],"url":"[URL]"}', "my_token : [REDACTED], x=1", '{"password": [REDACTED]', "Set-Cookie=[REDACTED]; key=1 api key=2", "", None, "cookie="
+    ]
 
 
 def test_quantised(spark):

@@ -60,4 +60,4 @@ def test_stress_test_and_area_rows(spark):
     target = spark.createDataFrame([("2026-01-01", "2026-01-13", -10.0)], "ref string, sec string, mm double").select(F.to_date("ref").alias("ref"), F.to_date("sec").alias("sec"), "mm")
     dated = area.withColumn("reference", F.to_date("reference", "yyyyMMdd")).withColumn("secondary", F.to_date("secondary", "yyyyMMdd"))
     row = Q.stress_test(target, dated).first()
-    assert row.season == "winter" and row.rate == pytest.approx(-1.0) and not row.above_ceiling
+    assert row.season == "dry" and row.rate == pytest.approx(-1.0) and not row.above_ceiling

@@ -15,7 +15,7 @@ def test_every_cell(spark, tmp_path):
     assert R.horn_slope_aspect(spark, d).count() == z.size
     lower = {(i, j) for i in range(510) for j in range(5) if min(h[max(i - 1, 0) : i + 2, max(j - 1, 0) : j + 2].ravel()) < h[i, j]}
     assert {(r.row, r.col) for r in R.d8_receivers(spark, d).collect()} == lower
-    flat = {(r.k, r.x): r.z for r in R.bilinear_resample_whole(spark, d).collect()}
+    flat = {(r.k, r.x): r.z for r in R.bilinear_resample(spark, d).collect()}
     assert len(flat) == z.size and all((flat[i, j + 0.5] is None) == (i == 509 or j == 4) for i in range(510) for j in range(5))
     assert abs(flat[508, 3.5] - (0.375 * (h[508, 3] + h[508, 4]) + 0.125 * (h[509, 3] + h[509, 4]))) < 1e-5
     level = np.full(h.shape, np.inf)

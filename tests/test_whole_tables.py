@@ -18,9 +18,9 @@ def test_lineitem(spark, tmp_path):
         ends = {label.get(x, x) for x in (f"p{r[2]}", f"s{r[3]}")}
         label.update({f"p{r[2]}": min(ends), f"s{r[3]}": min(ends)})
         label = {k: min(ends) if v in ends else v for k, v in label.items()}
-    assert {r.node: r.component for r in S.network_components_whole(spark, d).collect()} == label
+    assert {r.node: r.component for r in S.network_components(spark, d).collect()} == label
     edges = {(r[2], r[3]) for r in rows}
-    got = S.network_redundancy_whole(spark, d).collect()
+    got = S.network_redundancy(spark, d).collect()
     assert sum(r.pairs for r in got) == len(edges) and sum(r.epochs for r in got) == len(label)
     sums: dict[int, list] = {}
     for r in sorted(rows):
@@ -31,20 +31,20 @@ def test_lineitem(spark, tmp_path):
         for o, n, v in steps:
             total = None if total is None or v is None else total + v
             want.add((track, o, n, total))
-    assert {tuple(r) for r in S.cumulative_with_gaps_whole(spark, d).collect()} == want
+    assert {tuple(r) for r in S.cumulative_with_gaps(spark, d).collect()} == want
     pairs = {(r[3], r[9].date(), r[9].date() + timedelta(days=7 + r[3] % 3)) for r in rows}
-    assert sum(r.pairs for r in S.chain_runs_whole(spark, d).collect()) == len(pairs)
+    assert sum(r.pairs for r in S.chain_runs(spark, d).collect()) == len(pairs)
     groups: dict[tuple, list] = {}
     for r in rows:
         groups.setdefault((r[8], r[3]), []).append((r[5] - 50000, r[1] % 2 != 1))
-    checked = {(r.geometry, r.pair): r.products for r in Q.duplicate_consistency_whole(spark, d).collect()}
+    checked = {(r.geometry, r.pair): r.products for r in Q.duplicate_consistency(spark, d).collect()}
     assert checked == {k: len(v) for k, v in groups.items() if len(v) > 1}
     best = {}
     for k, v in groups.items():
         away = [abs(x) for g, w in groups.items() if g[0] == k[0] and g != k for x, _ in w]
         expect = median(away) if len(v) > 1 and away else 0
         best[k] = min(v, key=lambda x: (abs(abs(x[0]) - expect), x[1], x[0]))[0]
-    assert {(r.geometry, r.pair): r.value for r in Q.duplicate_resolution_whole(spark, d).collect()} == best
+    assert {(r.geometry, r.pair): r.value for r in Q.duplicate_resolution(spark, d).collect()} == best
 
 
 def test_every_epoch(spark, tmp_path):
