@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import tiled, together, whole_groups
-from .storage import size_of, written
+from .storage import give_back, size_of, written
+
+#: Places of a projection: its order is cut into as many steps, half a byte each, the outer two open.
+PLACES = 16
 
 
 @dataclass(frozen=True)
@@ -24,28 +27,35 @@ class Plan:
     threshold: float
     tables: int  # partitions of the space
     bits: int  # projections whose halves make a table's cells
-    projections: int  # projections whose windows are counted
+    projections: int  # projections whose windows are counted, an even number
+    step: float  # size of a place
+    window: int  # places to either side of the query's own that its window takes in
     least: int  # collisions that a pair needs
-    width: float  # half a window
     seed: int = 5
 
     @staticmethod
-    def of(n: int, threshold: float, recall: float, *, cell: int = 200, projections: int = 16) -> Plan:
+    def of(n: int, threshold: float, recall: float, *, cell: int = 400, projections: int = 64, window: int = 1) -> Plan:
         """Tables of cells with about ``cell`` vectors, enough that a pair at the threshold shares one with probability
-        ``recall``; windows of two deviations of such a pair's difference, and the collision count it reaches almost surely."""
+        ``recall``; and the collision count that such a pair reaches but for a tenth of what recall leaves.
+
+        A pair's difference on a projection is normal with deviation sqrt(2 - 2 threshold).  Places are 1.25 deviations wide, so
+        that its chance to be within ``window`` places follows by averaging over where in its place the query stands.
+        """
         bits = max(0, min(24, round(math.log2(max(n, 1) / cell))))
         same_side = 1 - math.acos(threshold) / math.pi
         hit = same_side**bits
         tables = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-        width = 2 * math.sqrt(2 - 2 * threshold)
-        inside = math.erf(2 / math.sqrt(2))
-        below, least = 0.0, 0
+        deviation = math.sqrt(2 - 2 * threshold)
+        below = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+        spots = [(k + 0.5) / 200 for k in range(200)]
+        inside = sum(below(1.25 * (window + 1 - t)) - below(-1.25 * (window + t)) for t in spots) / len(spots)
+        missed, least = 0.0, 0
         while least < projections:
-            below += math.comb(projections, least) * inside**least * (1 - inside) ** (projections - least)
-            if below > (1 - recall) / 10:
+            missed += math.comb(projections, least) * inside**least * (1 - inside) ** (projections - least)
+            if missed > (1 - recall) / 10:
                 break
             least += 1
-        return Plan(threshold, tables, bits, projections, least, width)
+        return Plan(threshold, tables, bits, projections, 1.25 * deviation, window, least)
 
 
 @functools.lru_cache(maxsize=16)
@@ -55,11 +65,6 @@ def directions(plan: Plan, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dim, plan.tables * plan.bits)), rng.standard_normal((dim, plan.projections))
 
 
-def unit(batch: pa.Array, dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(batch.to_pylist()), np.float64).reshape(-1, dim)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
 def cells(plan: Plan, v: np.ndarray) -> np.ndarray:
     """Each vector's cell in every table, as one number: 24 bits of halves, 12 of the table, above them the dimension."""
     side = (v @ directions(plan, v.shape[1])[0] > 0).reshape(len(v), plan.tables, plan.bits)
@@ -67,20 +72,59 @@ def cells(plan: Plan, v: np.ndarray) -> np.ndarray:
     return code + (np.arange(plan.tables, dtype=np.int64) << 24) + (np.int64(v.shape[1]) << 36)
 
 
-def collisions(values: np.ndarray, width: float) -> np.ndarray:
-    """How many columns put each pair of rows within ``width``: each column is sorted, and every row's centred window is a
-    range of the order."""
-    n = len(values)
-    count = np.zeros((n, n), np.int16)
-    for column in values.T:
-        order = np.argsort(column)
-        ranked = column[order]
-        low, high = np.searchsorted(ranked, ranked - width), np.searchsorted(ranked, ranked + width, side="right")
-        within = (np.arange(n) >= low[:, None]) & (np.arange(n) < high[:, None])
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        count += within[place][:, place]
-    return count
+def places(plan: Plan, v: np.ndarray) -> np.ndarray:
+    """The place of each vector in the order of every counted projection."""
+    at = np.floor(v @ directions(plan, v.shape[1])[1] / plan.step) + PLACES // 2
+    return np.clip(at, 0, PLACES - 1).astype(np.int8)
+
+
+def packed(at: np.ndarray) -> np.ndarray:
+    return (at[:, ::2] | at[:, 1::2] << 4).astype(np.uint8)
+
+
+def unpacked(column: pa.Array, n: int) -> np.ndarray:
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1)
+    return np.stack((both & 15, both >> 4), 2).reshape(n, -1).astype(np.int8)
+
+
+def counted(plan: Plan, at: np.ndarray, dense: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) that fall into each other's windows on ``least`` projections or more.
+
+    Rows are sorted by each projection; a row's window, centred on its own place, is a run of that order, and the rows whose
+    rank lies in the run collide with it.  Pairs that can no longer reach the count are let go: after the first ``dense``
+    projections, of which every pair's collisions are added up, only the pairs that are left are looked at.
+    """
+    n, m = at.shape
+    if n < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(at, axis=0, kind="stable")
+    rank, low, high = (np.empty((m, n), np.int32) for _ in range(3))
+    for k in range(m):
+        ranked = at[order[:, k], k]
+        rank[k, order[:, k]] = np.arange(n)
+        ends = np.searchsorted(ranked, np.arange(-plan.window, PLACES + plan.window + 1))
+        low[k], high[k] = ends[at[:, k]], ends[at[:, k] + 2 * plan.window + 1]
+    found = []
+    dense, step = min(m, dense), max(1, (1 << 20) // n)
+    for a in range(0, n, step):
+        count = np.zeros((min(step, n - a), n), np.int8)
+        for k in range(dense):
+            count += (rank[k] >= low[k, a : a + step, None]) & (rank[k] < high[k, a : a + step, None])
+        i, j = np.nonzero(np.triu(count >= plan.least - (m - dense), a + 1))
+        so_far, i = count[i, j], i + a
+        for k in range(dense, m):
+            if not len(i):
+                break
+            so_far = so_far + ((rank[k, j] >= low[k, i]) & (rank[k, j] < high[k, i]))
+            good = so_far >= plan.least - (m - 1 - k)
+            i, j, so_far = i[good], j[good], so_far[good]
+        found.append((i, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def verified(v: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, at_once: int = 1 << 16) -> np.ndarray:
+    """Which of the counted pairs of unit vectors have a cosine of ``threshold`` or more, in double precision."""
+    return np.concatenate([np.einsum("ij,ij->i", v[i[k : k + at_once]], v[j[k : k + at_once]]) >= threshold for k in range(0, len(i), at_once)] or [np.empty(0, bool)])
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -94,94 +138,162 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.999, tile: int = 1024) -> DataFrame:
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    linked = np.zeros((n, n), bool)
+    linked[i, j] = linked[j, i] = True
+    return _labels(linked)
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """``id``, ``rep`` (digest of a vector that can link, else null) and ``v`` (its components as bytes, of their own width)."""
+    width = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            lists = batch.column("v")
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(width)
+            starts = lists.offsets.to_numpy()[:-1]
+            reps, own = [None] * len(sizes), [None] * len(sizes)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                pick = np.flatnonzero(sizes == dim)
+                block = flat[starts[pick][:, None] + np.arange(dim)] + width(0)
+                good = np.isfinite(block).all(1) & (block != 0).any(1)
+                for at, x in zip(pick[good].tolist(), block[good], strict=True):
+                    own[at] = x.tobytes()
+                    reps[at] = xxhash.xxh3_128_digest(own[at])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(reps, pa.binary()), pa.array(own, pa.binary())], ["id", "rep", "v"])
+
+    return rows.mapInArrow(read, "id long, rep binary, v binary")
+
+
+def _units(values: list[bytes], width: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of each length; scaled first, so that no square overflows."""
+    sizes = np.array([len(x) for x in values], np.int64)
+    for size in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(values[k] for k in pick.tolist()), width).reshape(len(pick), -1).astype(np.float64)
+        raw = raw / np.abs(raw).max(1, keepdims=True)
+        yield pick, raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _candidates(distinct: DataFrame, plan: Plan, width: type, tile: int) -> DataFrame:
+    """Edges between vectors that collide often enough within a cell: one for each such vector and cell.
+
+    Half a byte a projection moves for each table, never the vectors.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pick, v in _units(batch.column("v").to_pylist(), width):
+                for a in range(0, len(pick), 2048):
+                    key, rows = np.unique(cells(plan, v[a : a + 2048]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows)], ["key", "rows"])
+
+    filled = distinct.select("v").mapInArrow(fill, "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows")).where(F.col("rows") > tile)
+    hot = written(filled.select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / tile).cast("int").alias("tiles")), "crowded-cells")
+    crowded = hot.count()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node")
+            for pick, v in _units(batch.column("v").to_pylist(), width):
+                for a in range(0, len(pick), 1024):
+                    part = v[a : a + 1024]
+                    again = pa.array(np.repeat(np.arange(len(part)), plan.tables))
+                    codes = pa.array([x.tobytes() for x in packed(places(plan, part))], pa.binary())
+                    own = node.take(pa.array(pick[a : a + 1024])).take(again)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells(plan, part).reshape(-1)), own, codes.take(again)], ["key", "node", "codes"])
+
+    dealt = distinct.select("node", "v").mapInArrow(spread, "key long, node long, codes binary")
+    if crowded:
+        dealt = dealt.join(F.broadcast(hot) if crowded <= 100_000 else hot, dealt["key"] == hot["hot_key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
+        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.withColumn("key", F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))))
+    dealt = together(dealt.select("key", "node", "codes"), "key")
+
+    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bounds in whole_groups(batches, "key"):
+            node, found = group.column("node").to_numpy(), []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                i, j = counted(plan, unpacked(group.column("codes").slice(a, b - a), b - a))
+                if len(i):
+                    busy = np.unique(np.concatenate((i, j)))
+                    found.append((node[a + busy], node[a + _roots(b - a, i, j)[busy]]))
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]).filter(pa.array(u != v))
+        give_back()
+
+    return dealt.mapInArrow(collide, "u long, v long")
+
+
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, tile: int = 1024) -> DataFrame:
     """Links of cosine ``threshold`` or more among all rows: one row for each, with ``n_links``, ``component_id``, ``kept``.
 
     Counting window collisions over whole sorted projections would meet a constant share of all pairs, so each of several
     tables first cuts the space into cells by the halves of other projections; within a cell, every pair's collisions over
-    the sorted projections are counted, pairs with a count that a true pair all but surely reaches are verified by their
-    exact cosine in double precision.  A pair is counted in the first table that brings it together.  The number of tables
-    follows from ``recall``, the chance to find a pair exactly at the threshold; nearer pairs are found with greater chance.
+    the sorted projections are counted.  Vectors whose pairs reach the count that a true pair all but surely reaches make
+    one candidate cluster; within a cluster, pairs are counted again and those that pass are verified by their exact cosine
+    in double precision, each pair once.  The number of tables follows from ``recall``, the chance to find a pair exactly at
+    the threshold on its own; nearer pairs, and pairs whose cluster others connect, are found with greater chance.
 
-    Equal vectors are taken once, with their number.  A crowded cell is cut into tiles of ``tile`` rows that meet pairwise in
-    tasks of their own; no list of pairs is ever made, only counts and one edge per row and cell.
+    Equal vectors are taken once, with their number.  A crowded cell or cluster is cut into tiles of ``tile`` rows that meet
+    pairwise in tasks of their own; no list of pairs is ever made, only counts and one edge per row and cell.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of other lengths
     don't link.  Rows with equal ids are rows of their own with the same id.  Null ids come out as rows with null
     ``component_id`` unless linked to others.  An empty table gives no row; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    x = F.col("v")
-    whole = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))) & F.exists("v", lambda c: c != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("ok", whole).withColumn("rep", F.when(F.col("ok"), F.unhex(F.md5(F.to_json(F.struct(F.transform(x, lambda c: c + F.lit(0.0)).alias("v")))).cast("string"))))
-    table = written(rows.select("id", "rep", "v"), "vectors")
-    distinct = written(table.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("id").alias("low")), "distinct-vectors")
+    kind = vectors.schema[vector_col].dataType.elementType.typeName()
+    width = np.float32 if kind == "float" else np.float64
+    rows = _read(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>").alias("v")))
+    table = written(rows.select("id", "rep"), "vectors")
+    merged = rows.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    distinct = written(merged.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
     plan = Plan.of(distinct.count(), threshold, recall)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("v")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(sizes) - sizes
-            for dim in np.unique(sizes):
-                pick = np.flatnonzero(sizes == dim)
-                raw = flat[starts[pick][:, None] + np.arange(dim)]
-                scale = np.abs(raw).max(1, keepdims=True)
-                v = raw / scale
-                v = np.ascontiguousarray(v / np.linalg.norm(v, axis=1, keepdims=True))
-                keys = cells(plan, v)
-                for a in range(0, len(pick), 1024):
-                    part, k = pick[a : a + 1024], keys[a : a + 1024]
-                    again = np.repeat(np.arange(len(part)), plan.tables)
-                    packed = pa.array([u.tobytes() for u in v[a : a + 1024]], pa.binary())
-                    own = batch.take(pa.array(part)).select(["rep", "n"])
-                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), *(c.take(pa.array(again)) for c in own.columns), packed.take(pa.array(again))], ["key", "rep", "n", "unit"])
-
-    spreads = distinct.select("rep", "n", "v").mapInArrow(spread, "key long, rep binary, n long, unit binary")
-    dealt = together(tiled(spreads, "key", "rep", tile).select("cell", "key", "tile_a", "tile_b", "tile_own", "rep", "n", "unit"))
+    clusters = components(_candidates(distinct, plan, width, tile), "vector-clusters", within=size_of(table)).withColumnRenamed("component", "cluster")
+    members = written(distinct.select("node", "n", "v").join(clusters, "node"), "vector-members")
+    dealt = together(tiled(members, "cluster", "node", tile).select("cell", "tile_a", "tile_b", "tile_own", "node", "n", "v"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, bounds in whole_groups(batches, "cell"):
             found = []
-            keys, tile_a, tile_b, own, n = (group.column(c).to_numpy() for c in ("key", "tile_a", "tile_b", "tile_own", "n"))
-            rep = group.column("rep").combine_chunks()
+            tile_a, tile_b, own, n, node = (group.column(c).to_numpy() for c in ("tile_a", "tile_b", "tile_own", "n", "node"))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
-                v = unit(group.column("unit").slice(a, b - a), int(keys[a] >> 36))
-                passed = collisions(v @ directions(plan, v.shape[1])[1], plan.width) >= plan.least
-                linked = passed & (v @ v.T >= plan.threshold)
-                np.fill_diagonal(linked, False)
-                if tile_a[a] != tile_b[a]:
-                    linked &= own[a:b][:, None] != own[a:b][None, :]
-                i, j = np.nonzero(linked)
-                if not len(i):
-                    continue
-                busy = np.unique(i)
-                every = np.zeros((b - a, plan.tables), np.int64)
-                every[busy] = cells(plan, v[busy])
-                table_no = int(keys[a] >> 24) & 0xFFF
-                first = np.ones(len(i), bool)
-                for t in range(table_no):
-                    first &= every[i, t] != every[j, t]
-                count = np.bincount(i[first], n[a:b][j[first]], b - a).astype(np.int64)
-                label = _labels(linked)
-                found.append((a + busy, a + label[busy], count[busy]))
+                for pick, v in _units(group.column("v").slice(a, b - a).to_pylist(), width):
+                    at = a + pick
+                    i, j = counted(plan, places(plan, v))
+                    if tile_a[a] != tile_b[a]:
+                        apart = own[at[i]] != own[at[j]]
+                        i, j = i[apart], j[apart]
+                    true = verified(v, i, j, plan.threshold)
+                    i, j = i[true], j[true]
+                    if len(i):
+                        count = np.bincount(i, n[at[j]], len(at)) + np.bincount(j, n[at[i]], len(at))
+                        busy = np.flatnonzero(count)
+                        found.append((node[at[busy]], node[at[_roots(len(at), i, j)[busy]]], count[busy].astype(np.int64)))
             if found:
-                at, to, count = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(at)), rep.take(pa.array(to)), pa.array(count)], ["rep", "root", "n_links"])
-
-    links = written(dealt.mapInArrow(link, "rep binary, root binary, n_links long"), "vector-links")
-    groups = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-components", within=size_of(links))
-    counted = links.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    labelled = distinct.select("rep", "n", "low").join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), "low")
+                u, root, count = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(root), pa.array(count)], ["node", "root", "n_links"])
+        give_back()
+
+    links = written(dealt.mapInArrow(link, "node long, root long, n_links long"), "vector-links")
+    groups = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")), "vector-components", within=size_of(links))
+    counted_links = links.groupBy("node").agg(F.sum("n_links").alias("others"))
+    labelled = distinct.select("node", "rep", "n", "low").join(counted_links, "node", "left").join(groups, "node", "left")
+    labelled = labelled.select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"), "low")
     labelled = written(labelled, "vector-classes")
     lows = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = labelled.join(lows, "component").select("rep", "links", "component_id")
-    out = table.select("id", "rep").join(classes, "rep", "left")
+    out = table.join(classes, "rep", "left")
     return out.select("id", F.coalesce("links", F.lit(0)).alias("n_links"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 

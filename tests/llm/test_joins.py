@@ -51,18 +51,37 @@ def test_near_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_of_the_plan():
-    rng = np.random.default_rng(4)
-    plan = vectors.Plan.of(100_000, 0.9, 0.999)
-    u = rng.normal(size=(3000, 64))
+def pairs_at(rng, n, dim, cosine):
+    u = rng.normal(size=(n, dim))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(1, keepdims=True) * u
-    v = 0.9 * u + np.sqrt(1 - 0.81) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    meet = (vectors.cells(plan, u) == vectors.cells(plan, v)).any(1)
-    side = vectors.directions(plan, 64)[1]
-    counted = (np.abs(u @ side - v @ side) <= plan.width).sum(1) >= plan.least
-    assert (meet & counted).mean() > 0.99
+    return u, cosine * u + np.sqrt(1 - cosine * cosine) * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+def test_counted_pairs_are_few_and_hold_the_near_ones():
+    rng = np.random.default_rng(4)
+    plan = vectors.Plan.of(100_000, 0.9, 0.995)
+    u, v = pairs_at(rng, 3000, 64, 0.9)
+    own, other = vectors.places(plan, u), vectors.places(plan, v)
+    assert ((np.abs(own - other) <= plan.window).sum(1) >= plan.least).mean() > 0.999
+    assert (vectors.cells(plan, u) == vectors.cells(plan, v)).any(1).mean() > 0.99
+    at = np.concatenate((own[:300], other[:300]))
+    i, j = vectors.counted(plan, at)
+    brute = (np.abs(at[:, None] - at[None]) <= plan.window).sum(2) >= plan.least
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(brute, 1))), strict=True))
+    assert len(i) < 330  # of 179,700 pairs: what is verified is what was counted
+    assert {(k, k + 300) for k in range(300)} - set(zip(i.tolist(), j.tolist(), strict=True)) == set()
+    assert vectors.verified(np.concatenate((u[:300], v[:300])), i, j, 0.899).sum() >= 300
+
+
+def test_recall_of_near_vectors(spark):
+    rng = np.random.default_rng(9)
+    u, v = pairs_at(rng, 1500, 64, 0.9005)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate((u, v, rng.normal(size=(3000, 64)))))], "vec_id long, embedding array<double>")
+    got = {r.id: r for r in vectors.near_vectors(df).collect()}
+    assert sum(got[i + 1500].component_id == i for i in range(1500)) >= 0.99 * 1500
+    assert all(got[i].n_links == 0 for i in range(3000, 6000))
 
 
 def variants(rng, words, n):
