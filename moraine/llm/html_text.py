@@ -31,7 +31,10 @@ SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "optio
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_HIDDEN_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNQUOTED = re.compile(r"<[^>]*>?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_INTEGER = re.compile(r"-?[0-9]{1,9}\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -42,56 +45,72 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class _Open:
+    """The open elements, and where those of each name stand, so that no step looks through all of them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of one of ``tags``; 0, the root's, for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        for node in self.stack[place:]:
+            self.at[node.tag].pop()
+        del self.stack[place:]
+
+    def end(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """An implied end: of the innermost of ``tags``, unless an element of ``scope`` stands within it, and of those around."""
+        place = self.last(tags)
+        if place > self.last(scope):
+            while place > 1 and self.stack[place - 1].tag in tags:
+                place -= 1
+            self.cut(place)
+
+
 def parse(source: str) -> Node:
-    """The element tree: void and raw-text elements, implied end tags, implied ``tr`` and ``tbody``-less tables."""
-    root = Node("#root", {})
-    stack, at, n = [root], 0, len(source)
-
-    def close(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope:
-                return
-            if stack[i].tag in tags:
-                low = i
-                while low - 1 > 0 and stack[low - 1].tag in tags:
-                    low -= 1
-                del stack[low:]
-                return
+    """The element tree: void and raw-text elements, implied end tags, implied ``tr`` and ``tbody``-less tables.
 
+    Every tag costs the same however deep it stands.
+    """
+    root = Node("#root", {})
+    is_open, at, n = _Open(root), 0, len(source)
     while at < n:
         m = _PIECE.match(source, at)
         if m is None:  # a tag whose quote never ends
-            m = re.compile(r"<[^>]*>?").match(source, at)
+            m = _UNQUOTED.match(source, at)
         at = m.end()
         piece = m.group()
         if piece[0] != "<" or piece == "<":
-            stack[-1].children.append(html.unescape(piece))
+            is_open.top().children.append(html.unescape(piece))
         elif m.re is _PIECE and m.group(1):
             tag = m.group(1).lower()
-            if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and all(x.tag != "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                        break
+            place = is_open.last((tag,))
+            if tag == "br" or (tag == "p" and not place):
+                is_open.top().children.append(Node(tag, {}))
+            elif place and (tag in ("table", "tr", "tbody", "thead", "tfoot") or is_open.last(("table", "td", "th")) <= place):
+                is_open.cut(place)
         elif m.re is _PIECE and m.group(2):
             tag, inside = m.group(2).lower(), m.group(3)
             attrs = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(inside)} if inside.strip(" /\n\t") else {}
             if tag in IMPLIED_END:
-                close(IMPLIED_END[tag], SCOPE[tag])
+                is_open.end(IMPLIED_END[tag], SCOPE[tag])
             if tag in CLOSES_P:
-                close(("p",), ("table", "td", "th", "button", "caption"))
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                is_open.end(("p",), ("table", "td", "th", "button", "caption"))
+            if tag in ("td", "th") and is_open.top().tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr", {})
-                stack[-1].children.append(row)
-                stack.append(row)
+                is_open.top().children.append(row)
+                is_open.push(row)
             node = Node(tag, attrs)
-            stack[-1].children.append(node)
+            is_open.top().children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 text = source[at : end.start() if end else n]
@@ -99,17 +118,28 @@ def parse(source: str) -> Node:
                     node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
                 at = end.end() if end else n
             elif tag not in VOID and not (inside.endswith("/") and tag in ("svg", "path")):
-                stack.append(node)
+                is_open.push(node)
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
+    """Whether an element has a box at all; what stands in one without is not seen."""
     a = node.attrs
-    if node.tag in UNSEEN or (a and ("hidden" in a or _HIDDEN_STYLE.search(a.get("style", "")))):
+    if node.tag in UNSEEN or (a and ("hidden" in a or _NO_DISPLAY.search(a.get("style", "")))):
         return False
     return node.tag != "input" or a.get("type", "").lower() in ("button", "submit", "reset")
 
 
+def shows(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is seen: its last word on visibility, else what it inherits."""
+    found = _VISIBILITY.findall(node.attrs.get("style", "")) if node.attrs else ()
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def _integer(text: str | None) -> int | None:
+    return int(text) if text and _INTEGER.match(text.strip()) else None
+
+
 class _Lines:
     """Text lines under construction: collapses white space, keeps at most one blank line between blocks."""
 
@@ -160,39 +190,40 @@ class _Lines:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(root: Node, widest: int = 40, depth: int = 0) -> str:
+def render(root: Node, widest: int = 40, depth: int = 0, shown: bool = True) -> str:
     """All visible text: blocks on their own lines, list items marked and indented, table cells in aligned columns.
 
     ``widest`` bounds the padding of a column, not its text.  The walk keeps its own stack, so nesting has no limit; tables
     within tables are laid out to a depth of 8, below that their cells are blocks.
     """
     out = _Lines()
-    work: list = [(root, None)]
+    work: list = [(root, None, shown)]
     lists: list[list] = []
     pre = 0
     while work:
-        node, leave = work.pop()
+        node, leave, seen = work.pop()
         if leave is not None:
             leave()
             continue
         if isinstance(node, str):
-            out.text(node, pre > 0)
+            if seen:
+                out.text(node, pre > 0)
             continue
-        if not visible(node):
+        if not displayed(node):
             continue
-        tag = node.tag
+        tag, seen = node.tag, shows(node, seen)
         if tag == "br":
             out.newline(True)
         elif tag == "hr":
             out.block(True)
         elif tag == "img":
-            if node.attrs.get("alt"):
+            if seen and node.attrs.get("alt"):
                 out.text(node.attrs["alt"])
         elif tag == "input":
-            out.text(node.attrs.get("value", ""))
+            out.text(node.attrs.get("value", "") if seen else "")
         elif tag == "table" and depth < 8:
             out.block(True)
-            for line in table_lines(node, widest, depth):
+            for line in table_lines(node, widest, depth, seen):
                 out.text(line, True)
                 out.newline(True)
             out.gap = True
@@ -204,14 +235,16 @@ def render(root: Node, widest: int = 40, depth: int = 0) -> str:
                 out.block(tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir")))
                 before = out.prefix
                 if tag in ("ul", "ol", "menu", "dir"):
-                    start = node.attrs.get("start", "1")
-                    lists.append([int(start) if start.lstrip("-").isdigit() and start.isascii() and len(start) < 10 else 1] if tag == "ol" else [])
+                    start = _integer(node.attrs.get("start"))
+                    lists.append([1 if start is None else start] if tag == "ol" else [])
                 elif tag == "li":
                     own = lists[-1] if lists else []
+                    if own and (value := _integer(node.attrs.get("value"))) is not None:
+                        own[0] = value
                     mark = f"{own[0]}. " if own else "- "
                     if own:
                         own[0] += 1
-                    out.prefix, out.mark = before + " " * len(mark), mark
+                    out.prefix, out.mark = before + " " * len(mark), mark if seen else ""
                 elif tag in ("blockquote", "dd"):
                     out.prefix = before + "  "
                 pre += tag == "pre"
@@ -227,26 +260,28 @@ def render(root: Node, widest: int = 40, depth: int = 0) -> str:
                     out.block(spaced)
                     out.prefix = before
 
-                work.append((None, leave))
-            work.extend((c, None) for c in reversed(children))
+                work.append((None, leave, seen))
+            work.extend((c, None, seen) for c in reversed(children))
     return out.done()
 
 
-def table_lines(table: Node, widest: int, depth: int) -> Iterator[str]:
+def table_lines(table: Node, widest: int, depth: int, shown: bool = True) -> Iterator[str]:
     """A table's rows, cells padded to their columns' widths; ``colspan`` leaves empty columns, ``rowspan`` empty cells."""
     rows: list[list[list[str]]] = []
     captions: list[str] = []
     spans: dict[int, int] = {}
-    work = [(c, "table") for c in reversed(table.children)]
+    work = [(c, shown) for c in reversed(table.children)]
     while work:
-        node, _ = work.pop()
+        node, seen = work.pop()
         if isinstance(node, str):
-            if node.strip():
+            if seen and node.strip():
                 captions.append(_SPACE.sub(" ", node).strip())
-        elif not visible(node):
             continue
-        elif node.tag in ("thead", "tbody", "tfoot", "form"):
-            work.extend((c, node.tag) for c in reversed(node.children))
+        if not displayed(node):
+            continue
+        inherited, seen = seen, shows(node, seen)
+        if node.tag in ("thead", "tbody", "tfoot", "form"):
+            work.extend((c, seen) for c in reversed(node.children))
         elif node.tag == "tr":
             row: list[list[str]] = []
             for cell in node.children:
@@ -254,19 +289,19 @@ def table_lines(table: Node, widest: int, depth: int) -> Iterator[str]:
                     spans[len(row)] -= 1
                     row.append([])
                 if isinstance(cell, str):
-                    if cell.strip():
+                    if seen and cell.strip():
                         row.append([_SPACE.sub(" ", cell).strip()])
-                elif visible(cell):
-                    inner = Node("#cell", {})
-                    inner.children = cell.children if cell.tag in ("td", "th") else [cell]
-                    text = render(inner, widest, depth + 1).split("\n")
+                elif displayed(cell):
+                    inner, own = Node("#cell", {}), cell.tag in ("td", "th")
+                    inner.children = cell.children if own else [cell]
+                    text = render(inner, widest, depth + 1, shows(cell, seen) if own else seen).split("\n")
                     wide, tall = (min(int(v), 1000) if (v := cell.attrs.get(k, "")).isascii() and v.isdigit() and len(v) < 6 else 1 for k in ("colspan", "rowspan"))
                     for i in range(max(1, wide)):
                         spans[len(row)] = max(0, tall - 1)
                         row.append([] if i else text)
             rows.append(row)
         else:
-            captions.append(render(node, widest, depth + 1))
+            captions.append(render(node, widest, depth + 1, inherited))
     yield from (x for c in captions if c for x in c.split("\n"))
     widths: dict[int, int] = {}
     for row in rows:
@@ -286,8 +321,11 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
 
     A null or empty page gives an empty text with no lines.  Unclosed, crossed or unknown tags never fail: the tree builder
     follows the standard's implied end tags and closes what is left open at the end.  Rows with null or repeated ids are
-    kept as they are; columns other than those named are ignored.  A map over rows: no shuffle, one batch in memory.
+    kept as they are; columns other than those named are ignored; one of the result's own names in ``keep`` is an error.  A
+    map over rows: no shuffle, one batch in memory.
     """
+    if clash := {"id", "text", "n_chars", "n_lines", "_html"} & set(keep):
+        raise ValueError(f"columns to keep clash with the result's: {sorted(clash)}")
     rows = pages.select(F.col(id_col).alias("id"), *keep, F.col(html_col).cast("string").alias("_html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string, n_chars long, n_lines long"
 
