@@ -11,8 +11,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower case: every ASCII character but digits and lower-case letters.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK_CHARACTERS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
-#: Bits of a packed fingerprint that hold its position.
-_POSITION_BITS = 24
+#: Bits of a packed fingerprint that hold its position: as many as an array's index has.  The hash's upper bits above them
+#: order fingerprints, equal ones by position; the fingerprint itself is the whole hash.
+_POSITION_BITS = 31
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

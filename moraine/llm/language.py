@@ -226,6 +226,8 @@ def fit(texts: list[str], labels: list[str], *, width: int = 1 << 17, sizes: tup
 def _cuts(n: int, mean: int, rng: np.random.Generator) -> list[tuple[int, int]]:
     lengths = 1 + rng.geometric(1 / mean, max(1, 2 * n // mean + 2))
     ends = np.cumsum(lengths)
+    if ends[-1] < n:  # what the drawn spans leave is one more
+        lengths, ends = np.append(lengths, n - ends[-1]), np.append(ends, n)
     return [(int(e - k), int(k)) for e, k in zip(ends, lengths, strict=True) if e - k < n]
 
 
@@ -252,20 +254,23 @@ def predict(model: Model, texts: pa.Array, at_once: int = 400_000) -> tuple[list
     return names, np.clip(np.concatenate(scores), 0, 1) if scores else np.empty(0)
 
 
-def learn(docs: DataFrame, allowed: Column, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4000, max_languages: int = 64, **options) -> Model:
+def learn(docs: DataFrame, allowed: Column, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4000, max_languages: int = 256, **options) -> Model:
     """Fit on at most ``max_rows`` allowed rows with a label and a text, an equal share for each language, picked by a hash.
 
-    The bound is on the sample that reaches the driver; labels are counted over all rows first.  The most frequent
-    ``max_languages`` labels are learned.
+    The bound is on the sample that reaches the driver; labels are counted over all rows first.  Every label is learned;
+    more than ``max_languages`` of them are an error, as the model's size is theirs.  Where rows share ids, the sample is cut
+    at twice the bound, in the order of the hash.
     """
     rows = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
+    counts = rows.groupBy("label").count().orderBy("label").limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} labels")
     if not counts:
         return fit([], [], **options)
-    share = max_rows // len(counts)
+    share = max(1, max_rows // len(counts))
     cut = {r["label"]: int(-(2**63) + min(1.0, share / r["count"]) * (2**64 - 1)) for r in counts}
     limit = F.create_map(*[F.lit(x) for k, v in cut.items() for x in (k, min(v, 2**63 - 1))])
-    sample = rows.where(F.col("h") <= F.try_element_at(limit, F.col("label"))).limit(2 * max_rows).select("label", "text").toArrow().to_pylist()
+    sample = rows.where(F.col("h") <= F.try_element_at(limit, F.col("label"))).orderBy("h", "label", "text").limit(2 * max_rows).select("label", "text").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["label"], r["text"]))
     return fit([r["text"] for r in sample], [r["label"] for r in sample], **options)
 

@@ -17,12 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from the token files of all of them: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     from .token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of similar texts, its number of links and whether it is the one kept."""
     from .jaccard import jaccard_classes
 
     return jaccard_classes(_table(spark, sf_dir, "documents")).drop("mark").withColumnRenamed("id", "doc_id")
@@ -33,6 +35,7 @@ def _remainder(column: str, by: int) -> Column:
 
 
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and score, learned from the documents that are not held out."""
     from .language import identify, learn
 
     docs = _table(spark, sf_dir, "documents")
@@ -42,12 +45,14 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.9 or more, its component and whether it is the one kept."""
     from .vectors import near_vectors as operator
 
     return operator(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled documents that are not held out."""
     from .toxicity import learn, score
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -57,6 +62,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's digests, read back from its formatted windows; with one of control strings added."""
     from .chat import conversation_digests, format_windows
     from .storage import written
 
@@ -67,24 +73,28 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words within occurrences of benchmark windows, and the items they belong to."""
     from .decontamination import contamination
 
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "text_md5").withColumnRenamed("id", "doc_id")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand elsewhere before, with its numbers of lines and of removed ones."""
     from .lines import dedup_lines
 
     return dedup_lines(_table(spark, sf_dir, "documents"), exact=1).withColumnRenamed("id", "doc_id")
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible text with its layout."""
     from .html_text import extract_text
 
     return extract_text(_table(spark, sf_dir, "pages"), keep=("url",)).withColumnRenamed("id", "page_id")
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and where each stands in the packed sequences."""
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

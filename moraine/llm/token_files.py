@@ -26,7 +26,7 @@ def write_token_files(
 
     A file holds record batches of two fixed-size-list columns, ``ids`` (unsigned, 16 bits if the vocabulary allows) and
     ``mask`` (true for a token, false for filling), all lists ``sequence`` long, uncompressed: a reader maps the file and
-    reaches any sequence with no copy.  A second stream file lists its documents: id, first position, number of ids.
+    reaches any sequence with no copy (:class:`Sequences`).  A second stream file lists its documents: id, first position, number of ids.
     Documents run on from sequence to sequence; only the last sequence of a file is filled up with id 0 under a false mask.
 
     A null or empty text gives only ``end_id``.  Null ids come first; rows with equal ids are ordered by text and all kept.
@@ -112,6 +112,36 @@ def open_sequences(path: str) -> Iterator[pa.RecordBatch]:
         yield from stream
 
 
+class Sequences:
+    """Random access to the sequences of an ids file: ``len``, ``ids(i)`` and ``mask(i)``.
+
+    A local file is mapped; opening it reads only the headers of its record batches, and ``ids(i)`` is a view of the mapped
+    bytes, not a copy.  Every record batch but the last holds equally many sequences, so a sequence's place is a division.
+    """
+
+    def __init__(self, path: str):
+        self.batches = list(open_sequences(path))
+        self.each = self.batches[0].num_rows if self.batches else 1
+        if any(b.num_rows != self.each for b in self.batches[:-1]):
+            raise ValueError(f"record batches of {path} differ in size")
+
+    def __len__(self) -> int:
+        return sum(b.num_rows for b in self.batches)
+
+    def _row(self, name: str, i: int) -> pa.Array:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        lists = self.batches[i // self.each].column(name)
+        size = lists.type.list_size
+        return lists.values.slice((lists.offset + i % self.each) * size, size)
+
+    def ids(self, i: int) -> np.ndarray:
+        return self._row("ids", i).to_numpy(zero_copy_only=True)
+
+    def mask(self, i: int) -> np.ndarray:
+        return self._row("mask", i).to_numpy(zero_copy_only=False)
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """Documents from the files that :func:`write_token_files` listed: ``id``, ``start`` (ids of all documents before, over
     all files), ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers).

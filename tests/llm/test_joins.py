@@ -84,6 +84,27 @@ def test_recall_of_near_vectors(spark):
     assert all(got[i].n_links == 0 for i in range(3000, 6000))
 
 
+def test_recall_of_the_chosen_paths():
+    rng = np.random.default_rng(1)
+    plan = jaccard.Plan.of(0.8, 0.999999)
+    order = plan.order(np.arange(plan.runs))
+    lost = total = 0
+    for _ in range(10):
+        agree = rng.random((20_000, plan.coordinates)) < 0.8
+        found = np.zeros(len(agree), bool)
+        for run in range(plan.runs):
+            same = lambda place: agree[:, order[run, place % plan.coordinates]]  # noqa: B023, E731
+
+            def together(place, depth):
+                here = same(place)  # noqa: B023
+                return here if depth == plan.depth else here & (together(2 * place + 1, depth + 1) | together(2 * place + 2, depth + 1))
+
+            found |= together(0, 1)
+        found &= agree.sum(1) >= plan.agreement
+        lost, total = lost + int((~found).sum()), total + len(agree)
+    assert lost / total < 1e-4
+
+
 def variants(rng, words, n):
     out = []
     for _ in range(n):

@@ -154,9 +154,90 @@ def test_code_switched_words_follow_their_neighbours():
     assert [model.languages[k] for k in p.argmax(1)] == ["en"] * 3 + ["de"] * 3
 
 
+# ---- html against a plain walk ----
+
+
+def random_page(rng, depth=0, shown=True):
+    """(source, visible text without white space) of a random well-formed tree."""
+    source, seen = [], []
+    for _ in range(rng.integers(1, 4)):
+        word = "w" + str(rng.integers(1000))
+        source.append(word + " ")
+        seen.append(word if shown else "")
+        if depth < 5 and rng.random() < 0.7:
+            tag = rng.choice(["div", "span", "section", "b", "blockquote", "table", "unknown"])
+            style, own = [("", shown), (' style="display: none"', None), (' style="visibility:hidden"', False), (" style='color:red; visibility: visible'", True), (" hidden", None)][rng.choice(5, p=[0.6, 0.08, 0.12, 0.12, 0.08])]
+            inner, text = random_page(rng, depth + 1, bool(own))
+            inner = f"<tr><td>{inner}</td></tr>" if tag == "table" else inner
+            source.append(f"<{tag}{style}>{inner}</{tag}>")
+            seen.append("" if own is None else text)
+    return "".join(source), "".join(seen)
+
+
+def test_html_shows_what_a_plain_walk_shows():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        source, text = random_page(rng)
+        assert "".join(html_text.page_text(source).split()) == text, source
+
+
+def test_html_visibility_values_and_depth():
+    assert html_text.page_text('<div style="visibility:hidden">a<span style="visibility:visible">b</span></div>') == "b"
+    assert html_text.page_text("<ol><li>x<li value=5>y<li>z</ol>") == "1. x\n5. y\n6. z"
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        start = time.perf_counter()
+        html_text.page_text("<p><table><td>" + "<div>" * n + "x")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * 4 * max(took[0], 0.01)  # a quadratic walk takes 64 times as long
+
+
+def test_html_refuses_clashing_columns(spark):
+    with pytest.raises(ValueError):
+        html_text.extract_text(spark.createDataFrame([(1, "a", "b")], "page_id long, html string, text string"), keep=("text",))
+
+
 # ---- toxicity ----
 
 
+def test_label_model_against_plain_loops():
+    rng = np.random.default_rng(8)
+    y = rng.random(300) < 0.3
+    votes = np.column_stack([y ^ (rng.random(300) < e) for e in (0.1, 0.2, 0.3)]).astype(float)
+    got, found = toxicity.label_model(votes, y.astype(float), rounds=3, least_correlation=1.0)
+    rows = [[*v, float(t)] for v, t in zip(votes.tolist(), y.tolist(), strict=True)]
+    r = [0.95 if t else 0.02 for t in y.tolist()]
+    for _ in range(3):
+        one = [(sum(a * x[k] for a, x in zip(r, rows, strict=True)) + 0.5) / (sum(r) + 1) for k in range(4)]
+        zero = [(sum((1 - a) * x[k] for a, x in zip(r, rows, strict=True)) + 0.5) / (sum(1 - a for a in r) + 1) for k in range(4)]
+        prior = sum(r) / len(r)
+        r = []
+        for x in rows:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(a / b) if v else np.log((1 - a) / (1 - b)) for v, a, b in zip(x, one, zero, strict=True))
+            r.append(1 / (1 + np.exp(-odds)))
+    assert np.allclose(found["share"], 1) and np.allclose(found["rate1"], one, atol=1e-5) and np.allclose(got, r, atol=1e-4)
+
+
+def test_mined_features_against_counts(spark):
+    rng = np.random.default_rng(3)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [f"word{rng.integers(40)}" for _ in range(20)] + (["vilest", "vilely"][: 1 + i % 2] if bad else [])
+        docs.append((i, " ".join(words) if i % 50 else None))
+        labels.append((i, int(bad)))
+    df, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(df, own, F.lit(True))
+    assert {"vilest", "vile*", "vil*"} <= set(model.weights) and model.weights["vilest"] > 0
+    got = {r.id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert [i for i, t in docs if got[i] != int(i % 4 == 0 and t is not None)] == []
+
+
+# ---- toxicity on tables ----
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2

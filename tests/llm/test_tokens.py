@@ -112,3 +112,18 @@ def test_plan_against_first_fit(counts):
 def test_special_strings_and_long_words(text):
     ids, _ = word_encoder(default_tokenizer()).encode(pa.array([text], pa.string()))
     assert ids.tolist() == ids_of(text)
+
+
+def test_any_sequence_is_a_view_of_its_file(spark):
+    texts = [("word " * (40 * i + 1)) for i in range(12)]
+    files = token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sequence=64, batch_rows=4, parts=1).collect()
+    own = token_files.Sequences(files[0].path)
+    everything = np.concatenate([own.ids(i)[own.mask(i)] for i in range(len(own))])
+    assert len(everything) == files[0].tokens and len(own) == -(-files[0].tokens // 64)
+    index = next(iter(token_files.open_sequences(files[0].index_path)))
+    for start, n in zip(index.column("start").to_pylist(), index.column("n_tokens").to_pylist(), strict=True):
+        assert own.ids((start + n - 1) // 64)[(start + n - 1) % 64] == 1
+    view = own.ids(5)
+    assert not view.flags.owndata and view.base is not None and own.mask(0).all()
+    with pytest.raises(IndexError):
+        own.ids(len(own))
