@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset and Spark is local."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = f"file://{tempfile.gettempdir()}/moraine-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
+    return place
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -14,6 +14,8 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -84,14 +86,30 @@ class _H5PixelReader(DataSourceReader):
                 out += [InputPartition((name, a, a + step)) for a in range(0, f[self.options["dataset"]].shape[0], step)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         import h5py
 
         name, a, b = partition.value
         with h5py.File(name, "r") as f:
-            for i, line in enumerate(f[self.options["dataset"]][a:b]):
-                for j, value in enumerate(line):
-                    yield name, a + i, j, float(value)
+            yield block_batch(name, f[self.options["dataset"]][a:b], a)
+
+
+def block_batch(name: str, block: np.ndarray, row: int = 0, col: int = 0) -> pa.RecordBatch:
+    """A block of a grid that begins at ``row`` and ``col`` as one Arrow batch, a row a cell; masked cells are NULL."""
+    rows, cols = np.indices(block.shape, np.int32).reshape(2, -1)
+    gone = np.ma.getmaskarray(block).reshape(-1)
+    values = pa.array(np.ma.getdata(block).reshape(-1).astype(np.float64), mask=gone if gone.any() else None)
+    names = pa.DictionaryArray.from_arrays(np.zeros(len(rows), np.int32), pa.array([name])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([names, pa.array(rows + np.int32(row)), pa.array(cols + np.int32(col)), values], ["file", "row", "col", "value"])
+
+
+def centres(batch: pa.RecordBatch, affine: tuple[float, float, float, float, float, float], tags: str) -> pa.RecordBatch:
+    """A batch of cells with their centres by the file's affine (a, b, c, d, e, f) and the file's tags."""
+    a, b, c, d, e, f = affine
+    row, col = (batch.column(k).to_numpy() + 0.5 for k in ("row", "col"))
+    notes = pa.DictionaryArray.from_arrays(np.zeros(batch.num_rows, np.int32), pa.array([tags])).cast(pa.string())
+    columns = [*batch.columns[:3], pa.array(a * col + b * row + c), pa.array(d * col + e * row + f), batch.column("value"), notes]
+    return pa.RecordBatch.from_arrays(columns, ["file", "row", "col", "x", "y", "value", "tags"])
 
 
 class RasterBand(DataSource):
@@ -109,19 +127,14 @@ class RasterBand(DataSource):
 
 
 class _RasterReader(_FileReader):
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         import rasterio
 
         with rasterio.open(partition.value) as f:
             tags = json.dumps(f.tags())
             for _, window in f.block_windows(int(self.options.get("band", 1))):
                 block = f.read(int(self.options.get("band", 1)), window=window, masked=True)
-                for i in range(block.shape[0]):
-                    for j in range(block.shape[1]):
-                        row, col = window.row_off + i, window.col_off + j
-                        x, y = f.xy(row, col)
-                        v = block[i, j]
-                        yield partition.value, row, col, float(x), float(y), None if v is block.fill_value or getattr(v, "mask", False) else float(v), tags
+                yield centres(block_batch(partition.value, block, window.row_off, window.col_off), tuple(f.transform)[:6], tags)
 
 
 def fetched(url: str, tries: int = 4, wait: float = 2.0, opener: Callable = urllib.request.urlopen) -> str:

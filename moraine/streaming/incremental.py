@@ -26,6 +26,19 @@ def poll(stream: DataFrame, checkpoint: str, alert: Callable[[DataFrame, int], N
     return wanted.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(alert).start()
 
 
+def poll_exit_code(spark: SparkSession, folder: str, schema: str, checkpoint: str, alert: Callable[[DataFrame, int], None], since: Column | None = None) -> int:
+    """One poll for a scheduler: 10 where a product came whose secondary date is after ``since``, else 0."""
+    seen = []
+
+    def note(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            seen.append(number)
+            alert(batch, number)
+
+    poll(new_products(spark, folder, schema), checkpoint, note, since).awaitTermination()
+    return 10 if seen else 0
+
+
 def event_times(events: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Events with a watermark: times without zone are taken as the session's zone, which is UTC."""
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
