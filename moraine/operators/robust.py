@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .graph import checkpointed
+from .ranks import _beside, exact_percentiles, largest_group
 
 
 def with_group_median(df: DataFrame, keys: list[str], value: str, name: str = "group_median") -> DataFrame:
@@ -19,8 +21,17 @@ def with_group_median(df: DataFrame, keys: list[str], value: str, name: str = "g
     return df.join(medians, keys) if keys else df.crossJoin(medians)
 
 
-def robust_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``n``, ``median`` and ``sigma`` (1.4826 median absolute deviations) of the measured values of each group."""
+def robust_sigma(df: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
+    """``n``, ``median`` and ``sigma`` (1.4826 median absolute deviations) of the measured values of each group.
+
+    With ``large``, for few groups of any size, medians are found by rank, as ``exact_percentiles`` does.
+    """
+    if large:
+        most = largest_group(df, keys)
+        middle = checkpointed(exact_percentiles(df, keys, F.col(value), (0.5,), "_m", largest=most).select(*keys, "n", F.get("_m", 0).alias("median")))
+        off = F.abs(S.measured(F.col(value)) - F.col("median"))
+        spread = exact_percentiles(_beside(df.select(*keys, value), middle, keys), keys, off, (0.5,), "_s", largest=most).select(*keys, (S.MAD_SCALE * F.get("_s", 0)).alias("sigma"))
+        return _beside(middle, spread, keys)
     deviation = F.abs(S.measured(F.col(value)) - F.col("group_median"))
     return with_group_median(df, keys, value).groupBy(*keys).agg(F.count(S.measured(F.col(value))).alias("n"), F.first("group_median").alias("median"), S.sigma_of_deviation(deviation).alias("sigma"))
 
@@ -36,13 +47,14 @@ def detection_floor(df: DataFrame, keys: list[str], value: str, span: Column | s
 def percentile_profile(df: DataFrame, keys: list[str], value: str, points: Iterable[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles, extremes, largest magnitude and population deviation of each group."""
     x, points = S.measured(F.col(value)), tuple(points)
-    made = df.groupBy(*keys).agg(F.count(x).alias("n"), F.percentile(x, F.array(*map(F.lit, points))).alias("_p"), F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.abs(x)).alias("max_abs"), F.stddev_pop(x).alias("std"), F.avg(x).alias("mean"))
+    made = df.groupBy(*keys).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.abs(x)).alias("max_abs"), F.stddev_pop(x).alias("std"), F.avg(x).alias("mean"))
+    made = _beside(made, exact_percentiles(df, keys, F.col(value), points, "_p", largest=largest_group(df, keys)), keys)
     return made.select(*keys, "n", *[F.get("_p", i).alias(S.percentile_name(p)) for i, p in enumerate(points)], "low", "high", "max_abs", "std", "mean")
 
 
-def culled(df: DataFrame, keys: list[str], value: str, sigmas: float = 4.0, least: int = 10) -> DataFrame:
+def culled(df: DataFrame, keys: list[str], value: str, sigmas: float = 4.0, least: int = 10, large: bool = False) -> DataFrame:
     """Rows within ``sigmas`` robust sigmas of their group's median; a group of ``least`` or fewer, or without scatter, stays."""
-    scale = robust_sigma(df, keys, value).select(*keys, F.col("n").alias("_n"), F.col("median").alias("_median"), F.col("sigma").alias("_sigma"))
+    scale = robust_sigma(df, keys, value, large).select(*keys, F.col("n").alias("_n"), F.col("median").alias("_median"), F.col("sigma").alias("_sigma"))
     joined = df.join(scale, keys)
     keep = (F.col("_n") <= least) | ~F.coalesce(F.col("_sigma") > 0, F.lit(False)) | (F.abs(F.col(value) - F.col("_median")) <= sigmas * F.col("_sigma"))
     return joined.where(keep).drop("_n", "_median", "_sigma")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import stats as S
+from .ranks import exact_percentiles, largest_group
 from .robust import robust_sigma
 from .graph import checkpointed, flow_accumulation, depressions_filled, receivers, upstream_pairs
 
@@ -63,7 +64,7 @@ def elevation_fit(samples: DataFrame, keys: list[str], elevation_m: str, value:
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
         return df.join(other, same).drop(*[f"_k_{k}" for k in keys])
 
-    keep, parts = F.lit(True), []
+    keep, most = F.lit(True), largest_group(rows, keys) if clip else 0
     for k in range(passes if clip else 0):
         e, d = F.when(keep, F.col("e")), F.when(keep, F.col("d"))
         line = rows.groupBy(*keys).agg(F.count(e).alias("_n"), F.regr_slope(d, e).alias("s_kept"), F.regr_intercept(d, e).alias("i_kept"), F.regr_slope("d", "e").alias("s_all"), F.regr_intercept("d", "e").alias("i_all"))
@@ -71,11 +72,10 @@ def elevation_fit(samples: DataFrame, keys: list[str], elevation_m: str, value:
         line = line.select(*keys, F.when(enough, F.col("s_kept")).otherwise(F.col("s_all")).alias(f"_s{k}"), F.when(enough, F.col("i_kept")).otherwise(F.col("i_all")).alias(f"_i{k}"), enough.alias(f"_enough{k}"))
         rows = beside(rows, line)
         residual = F.col("d") - F.col(f"_s{k}") * F.col("e") - F.col(f"_i{k}")
-        rows = beside(rows, rows.groupBy(*keys).agg(S.median(residual).alias(f"_m{k}")))
+        rows = beside(rows, exact_percentiles(rows, keys, residual, (0.5,), "_p", largest=most).select(*keys, F.get("_p", 0).alias(f"_m{k}")))
         deviation = F.abs(residual - F.col(f"_m{k}"))
-        rows = beside(rows, rows.groupBy(*keys).agg(S.sigma_of_deviation(deviation).alias(f"_scale{k}")))
-        parts.append(F.when(F.col(f"_enough{k}") & (F.col(f"_scale{k}") > 0), deviation <= clip * F.col(f"_scale{k}")).otherwise(F.lit(True)))
-        keep = parts[-1]
+        rows = beside(rows, exact_percentiles(rows, keys, deviation, (0.5,), "_p", largest=most).select(*keys, (S.MAD_SCALE * F.get("_p", 0)).alias(f"_scale{k}")))
+        keep = F.when(F.col(f"_enough{k}") & (F.col(f"_scale{k}") > 0), deviation <= clip * F.col(f"_scale{k}")).otherwise(F.lit(True))
     if clip:
         rows = beside(rows, rows.groupBy(*keys).agg(F.count_if(keep).alias("_kept")))
         keep = keep | (F.col("_kept") < least)

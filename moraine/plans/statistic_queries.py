@@ -37,7 +37,7 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, round(any_value(m), 4) AS medi
 FROM lineitem JOIN m USING (l_returnflag, l_linestatus) GROUP BY 1, 2
 """)
 def robust_sigma_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.robust_sigma(load(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    out = B.robust_sigma(load(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", large=True)
     return out.select("l_returnflag", "l_linestatus", "n", F.round("median", 4).alias("median"), F.round("sigma", 4).alias("sigma"))
 
 
@@ -67,7 +67,7 @@ s AS (SELECT l_linestatus, any_value(m) AS m, 1.4826 * median(abs(l_extendedpric
 SELECT l_linestatus, count(*) AS kept, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN s USING (l_linestatus) WHERE abs(l_extendedprice - m) <= 1.5 * s GROUP BY 1
 """)
 def mad_cull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = B.culled(load(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", sigmas=1.5)
+    kept = B.culled(load(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", sigmas=1.5, large=True)
     return kept.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
