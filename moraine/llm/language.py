@@ -30,8 +30,10 @@ class Model:
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words per text, each word's place among the distinct normal words, and those: lower case, end marks cut."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = split.flatten().dictionary_encode()
+    counts, flat = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64), split.flatten()
+    there = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[there.to_numpy(zero_copy_only=False)], minlength=len(counts))
+    coded = flat.filter(there).dictionary_encode()
     normal = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _MARKS).dictionary_encode()
     return counts, normal.indices.to_numpy()[coded.indices.to_numpy()], normal.dictionary
 
@@ -167,9 +169,9 @@ def fit(texts: list[str], labels: list[str], *, width: int = 1 << 17, sizes: tup
     languages = sorted(set(labels))
     n_states = len(languages)
     model = Model(languages, np.zeros((width, max(n_states, 1))), np.zeros((n_states, n_states)), np.zeros(n_states), sizes)
-    if n_states < 2:
-        return model
     counts, index, words = normal_words(pa.array(texts, pa.string()))
+    if n_states < 2 or not len(index):
+        return model
     rng = np.random.default_rng(seed)
     label = np.array([languages.index(x) for x in labels])
     starts = np.cumsum(counts) - counts
@@ -231,27 +233,54 @@ def _cuts(n: int, mean: int, rng: np.random.Generator) -> list[tuple[int, int]]:
     return [(int(e - k), int(k)) for e, k in zip(ends, lengths, strict=True) if e - k < n]
 
 
-def predict(model: Model, texts: pa.Array, at_once: int = 400_000) -> tuple[list[str], np.ndarray]:
-    """Language and score of each whole text: the most words' worth of probability, and its share."""
+RUNS = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("probability", pa.float64())])
+
+
+def predict(model: Model, texts: pa.Array, at_once: int = 400_000) -> tuple[list[str], np.ndarray, pa.Array]:
+    """Language and score of each whole text (the most words' worth of probability, and its share), and its runs.
+
+    A run is a stretch of words, counted from 0, whose likeliest label is the same; its probability is the words' mean.
+    """
     if not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(RUNS))
     counts, index, words = normal_words(texts)
     by_word, lettered = emissions(model, words), _lettered(words)
     ends = np.cumsum(counts)
-    names, scores, i = [], [], 0
+    names, scores, n_runs, columns, i = [], [], [], [], 0
     while i < len(counts):
         low = ends[i] - counts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + at_once, side="right")))
         token = index[low : ends[j - 1]]
-        p = marginals(by_word[token], counts[i:j], model.transitions, model.start)[0] * lettered[token][:, None]
+        p = marginals(by_word[token], counts[i:j], model.transitions, model.start)[0]
         owner = np.repeat(np.arange(j - i), counts[i:j])
+        number, *found = _runs(p, owner, counts[i:j])
+        n_runs.append(number)
+        columns.append(found)
+        p = p * lettered[token][:, None]
         sums = np.stack([np.bincount(owner, p[:, k], j - i) for k in range(p.shape[1])], 1)
         total = sums.sum(1)
         best = sums.argmax(1)
         names += [model.languages[b] if n > 0 else UNKNOWN for b, n in zip(best, total, strict=True)]
         scores.append(np.where(total > 0, sums.max(1) / np.maximum(total, 1e-300), 0.0))
         i = j
-    return names, np.clip(np.concatenate(scores), 0, 1) if scores else np.empty(0)
+    if not scores:
+        return names, np.empty(0), pa.array([], pa.list_(RUNS))
+    label, first, last, probability = (np.concatenate(x) for x in zip(*columns, strict=True))
+    flat = pa.StructArray.from_arrays([pa.array(model.languages, pa.string()).take(pa.array(label)), pa.array(first), pa.array(last), pa.array(probability)], fields=list(RUNS))
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(n_runs)))).astype(np.int32)
+    return names, np.clip(np.concatenate(scores), 0, 1), pa.ListArray.from_arrays(pa.array(bounds), flat)
+
+
+def _runs(p: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each text's number of runs; each run's label, first and last word and mean probability."""
+    if not len(p):
+        return np.zeros(len(counts), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    label = p.argmax(1)
+    start = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (owner[1:] != owner[:-1]))))
+    length = np.diff(np.append(start, len(label)))
+    mean = np.add.reduceat(p[np.arange(len(label)), label].astype(np.float64), start) / length
+    first = start - (np.cumsum(counts) - counts)[owner[start]]
+    return np.bincount(owner[start], minlength=len(counts)), label[start], first, first + length - 1, np.clip(mean, 0, 1)
 
 
 def learn(docs: DataFrame, allowed: Column, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4000, max_languages: int = 256, **options) -> Model:
@@ -276,20 +305,23 @@ def learn(docs: DataFrame, allowed: Column, *, text_col: str = "text", label_col
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``id``, ``keep``, ``lang_pred`` and ``score`` for every row, from the whole text alone.
+    """``id``, ``keep``, ``lang_pred``, ``score`` and ``runs`` for every row, from the whole text alone.
+
+    ``runs`` tells where a text changes language: ``lang``, ``first`` and ``last`` word (from 0) and mean ``probability``
+    of each stretch of words with the same likeliest label; a text without words has none.
 
     A null text and one with no letter are ``und`` with score 0, as is everything under a model that saw no label.  Null
     and repeated ids keep their rows; other columns are ignored.  A map over rows; the model is a broadcast of fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, runs array<struct<lang: string, first: bigint, last: bigint, probability: double>>"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                names, scores = predict(shared.value, part.column("_text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
+                names, scores, runs = predict(shared.value, part.column("_text"))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores), runs], [*batch.schema.names[:-1], "lang_pred", "score", "runs"])
 
     return rows.mapInArrow(label, schema)

@@ -260,3 +260,33 @@ def test_toxicity_on_held_out_documents(spark):
     assert [r.predicted for r in toxicity.score(odd, model).collect()] == [0, 0]
     empty = toxicity.learn(docs, labels.limit(0), rest != 2)
     assert toxicity.score(odd, empty).where("predicted = 1").count() == 0
+
+
+def test_runs_of_code_switched_words(spark):
+    left, right = "alpha beta gamma delta".split(), "drei vier fuenf sechs".split()
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(side, 30)) for side in (left, right) for _ in range(20)]
+    model = language.fit(texts, ["l"] * 20 + ["r"] * 20)
+    mixed = " ".join(left * 4 + right * 6)
+    rows = spark.createDataFrame([(1, mixed), (2, None), (3, ""), (4, "gamma"), (5, mixed)], "doc_id long, text string")
+    out = {r.id: r for r in language.identify(rows, model).collect()}
+    runs = out[1].runs
+    assert [(r.lang, r.first, r.last) for r in runs] == [("l", 0, 15), ("r", 16, 39)]
+    assert all(0.5 < r.probability <= 1 for r in runs)
+    assert out[1].lang_pred == "r" and out[5].runs == runs
+    assert out[2].runs == out[3].runs == []
+    assert [(r.lang, r.first, r.last) for r in out[4].runs] == [("l", 0, 0)]
+
+
+def test_runs_do_not_depend_on_the_block():
+    model = language.fit(["aa bb cc"] * 9 + ["xx yy zz"] * 9, ["l"] * 9 + ["r"] * 9)
+    texts = pa.array(["aa bb xx yy", None, "", "zz aa", "cc " * 50 + "xx", "!!!"])
+    whole, pieces = language.predict(model, texts), language.predict(model, texts, at_once=3)
+    assert whole[0] == pieces[0] and np.allclose(whole[1], pieces[1])
+    assert [[(r["lang"], r["first"], r["last"]) for r in x] for x in whole[2].to_pylist()] == [[(r["lang"], r["first"], r["last"]) for r in x] for x in pieces[2].to_pylist()]
+
+
+def test_labelled_texts_without_words():
+    model = language.fit(["", " ", "\n"], ["l", "r", "l"])
+    names, scores, runs = language.predict(model, pa.array([" aa bb ", None]))
+    assert names[1] == "und" and all(0 <= x <= 1 for x in scores) and [len(x) for x in runs.to_pylist()] == [1, 0]
