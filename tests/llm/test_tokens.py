@@ -127,3 +127,25 @@ def test_any_sequence_is_a_view_of_its_file(spark):
     assert not view.flags.owndata and view.base is not None and own.mask(0).all()
     with pytest.raises(IndexError):
         own.ids(len(own))
+
+
+def test_packed_sequences_hold_the_ids(spark):
+    rng = np.random.default_rng(9)
+    words = ["alpha", "beta,", "gamma's", "Δelta", "42"]
+    rows = [(i, " ".join(rng.choice(words, int(n))), "x", 0) for i, n in enumerate(rng.integers(0, 120, 80))] + [(500, None, "x", 0), (501, "", "x", 0)]
+    docs = docs_of(spark, rows).repartition(7)
+    sequences = packing.pack_sequences(docs, capacity=64)
+    found = {}
+    for r in sequences.collect():
+        ids = np.frombuffer(r.ids, np.uint16)
+        assert len(ids) == sum(p.length for p in r.pieces) <= 64
+        assert [p.offset for p in r.pieces] == np.cumsum([0, *[p.length for p in r.pieces]])[:-1].tolist()
+        for p in r.pieces:
+            found.setdefault(p.id, []).append((p.piece, p.start, ids[p.offset : p.offset + p.length].tolist()))
+    for i, text, *_ in rows:
+        parts = sorted(found[i])
+        want = [*ids_of(text), 1]
+        assert [x for _, _, own in parts for x in own] == want
+        assert [(k, s) for k, s, _ in parts] == [(k, 64 * k) for k in range(-(-len(want) // 64))]
+    read = {(r.id, r.piece): r.ids_crc32 for r in packing.read_packed(sequences).collect()}
+    assert read == {(i, k): crc(own) for i, parts in found.items() for k, _, own in parts}
