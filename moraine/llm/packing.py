@@ -158,7 +158,7 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     with small_batches(spark, 2000):
-        made = written(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id), "pieces")
+        made = written(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id), "pieces", codec="zstd")
         by_part = made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
         counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
         slots = spark.sparkContext.broadcast(_slots(plan_bins(counts, capacity)))
@@ -195,7 +195,7 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             give_back()
 
         placed = made.mapInArrow(assign, "sequence_id long, offset long, id long, piece int, start long, length long, ids binary")
-        return written(together(placed, "sequence_id", "offset").mapInArrow(join, SEQUENCE_SCHEMA), "packed")
+        return written(together(placed, "sequence_id", "offset").mapInArrow(join, SEQUENCE_SCHEMA), "packed", codec="zstd")
 
 
 def _before(path: str, part: int, capacity: int) -> np.ndarray:

@@ -31,13 +31,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, within: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, within: int | None = None, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
     ``within`` is a bound on its bytes, as :func:`size_of` a table it came from gives: see :func:`in_few_files`.
     """
     path = new_path(df.sparkSession, name)
-    in_few_files(df, within).write.parquet(path)
+    in_few_files(df, within).write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
