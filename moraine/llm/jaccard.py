@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import min_hashes, mixed, shingle_sets
-from .storage import Scratch, give_back, size_of, small_batches, written
+from .storage import Scratch, give_back, light_slices, size_of, small_batches, written
 from .vectors import _labels
 
 
@@ -59,8 +59,7 @@ def _sketches(rows: DataFrame, plan: Plan, shingle: int, id_type: str) -> DataFr
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in light_slices(batch, "text", 2000):
                 flat, counts = shingle_sets(part.column("text"), shingle)
                 low = min_hashes(flat, counts, plan.coordinates, plan.seed)
                 yield pa.RecordBatch.from_arrays(
@@ -249,8 +248,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in light_slices(batch, "text", 500):
                 flat, counts = shingle_sets(part.column("text"), shingle)
                 ends = np.cumsum(counts)
                 same = np.array([x == y for x, y in zip(_digests(flat, counts), part.column("rep").to_pylist(), strict=True)], bool)

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import light_slices
+
 UNKNOWN = "und"
 _MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "«»“”„‘’¿¡…–—"
 #: Odd multipliers of the rolling hashes.
@@ -319,8 +321,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in light_slices(batch, "_text", 2000):
                 names, scores, runs = predict(shared.value, part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores), runs], [*batch.schema.names[:-1], "lang_pred", "score", "runs"])
 

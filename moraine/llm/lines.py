@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import tiled, together, whole_groups
 from .shingles import _inverse_powers, _powers, mixed
-from .storage import Scratch, give_back, size_of, small_batches, written
+from .storage import Scratch, give_back, light_slices, size_of, small_batches, written
 
 INDEX, PROBE = 1, 2
 
@@ -135,8 +135,7 @@ def _short(digests: list[bytes]) -> np.ndarray:
 def _occurrences(rows: DataFrame, least: int, id_type: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in light_slices(batch, "text", 500):
                 owner, number, lines = _lines(part.column("text"), least)
                 docs = pa.array(_digest(part.column("text").to_pylist()), pa.binary())
                 line = _digest(lines.to_pylist())
@@ -149,7 +148,7 @@ def _occurrences(rows: DataFrame, least: int, id_type: str) -> DataFrame:
 def _entries(rows: DataFrame, least: int, edits: int) -> DataFrame:
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = pa.concat_arrays([_lines(batch.column("text").slice(at, 500), least)[2] for at in range(0, batch.num_rows, 500)]).unique()
+            lines = pa.concat_arrays([_lines(part.column("text"), least)[2] for part in light_slices(batch, "text", 500)]).unique()
             for at in range(0, len(lines), 4000):
                 part = lines.slice(at, 4000)
                 lengths = pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -179,7 +178,7 @@ def _texts(rows: DataFrame, shorts: DataFrame, least: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = pa.concat_arrays([_lines(batch.column("text").slice(at, 500), least)[2] for at in range(0, batch.num_rows, 500)]).unique()
+            lines = pa.concat_arrays([_lines(part.column("text"), least)[2] for part in light_slices(batch, "text", 500)]).unique()
             short = _short(_digest(lines.to_pylist()))
             b = short % size
             keep = np.flatnonzero(wanted.value[b >> 5] >> (b & 31).astype(np.uint32) & 1)

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import together, whole_groups
-from .storage import give_back, new_path, small_batches, written
+from .storage import give_back, new_path, size_of, small_batches, written
 from .tokens import default_tokenizer, with_end, word_encoder
 
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids binary, part int, place long"
+#: Tasks whose counts share a file: at most so many times ``capacity`` rows are read for one of them.
+PARTS_A_FILE = 64
 SEQUENCE_SCHEMA = "sequence_id long, ids binary, pieces array<struct<id: bigint, piece: int, start: bigint, length: bigint, offset: bigint>>"
 
 
@@ -165,7 +167,7 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
         path = new_path(spark, "pieces-before")
-        offsets.repartition("part").write.partitionBy("part").parquet(path)
+        offsets.withColumn("block", F.expr(f"part div {PARTS_A_FILE}")).repartition("block").write.partitionBy("block").parquet(path)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, ranks_before = None, None
@@ -195,7 +197,7 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             give_back()
 
         placed = made.mapInArrow(assign, "sequence_id long, offset long, id long, piece int, start long, length long, ids binary")
-        return written(together(placed, "sequence_id", "offset").mapInArrow(join, SEQUENCE_SCHEMA), "packed", codec="zstd")
+        return written(together(placed, "sequence_id", "offset").mapInArrow(join, SEQUENCE_SCHEMA), "packed", size_of(made), codec="zstd")
 
 
 def _before(path: str, part: int, capacity: int) -> np.ndarray:
@@ -203,12 +205,13 @@ def _before(path: str, part: int, capacity: int) -> np.ndarray:
     import pyarrow.fs
     import pyarrow.parquet as pq
 
-    fs, root = pyarrow.fs.FileSystem.from_uri(f"{path}/part={part}")
+    fs, root = pyarrow.fs.FileSystem.from_uri(f"{path}/block={part // PARTS_A_FILE}")
     table = np.zeros(capacity + 1, np.int64)
     for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
         if info.base_name.endswith(".parquet"):
             with fs.open_input_file(info.path) as file:
-                rows = pq.read_table(file, columns=["length", "before"])
+                rows = pq.read_table(file, columns=["part", "length", "before"])
+            rows = rows.filter(pc.equal(rows.column("part"), part))
             table[rows.column("length").to_numpy()] = rows.column("before").to_numpy()
     return table
 
@@ -237,9 +240,13 @@ def read_packed(sequences: DataFrame) -> DataFrame:
             flat, owner = listed.flatten(), pc.list_parent_indices(listed)
             piece = {k: flat.field(i) for i, k in enumerate(("id", "piece", "start", "length", "offset"))}
             total = np.bincount(owner.to_numpy(), piece["length"].to_numpy(), batch.num_rows).astype(np.int64)
-            texts = batch.column("ids").to_pylist()
-            wide = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(texts, total.tolist(), strict=True)]
-            sums = [zlib.crc32(wide[k][a : a + n]) for k, a, n in zip(owner.to_pylist(), piece["offset"].to_pylist(), piece["length"].to_pylist(), strict=True)]
+            ids, sums = batch.column("ids"), []
+            held, wide = -1, np.empty(0, "<u4")
+            for k, a, n in zip(owner.to_pylist(), piece["offset"].to_pylist(), piece["length"].to_pylist(), strict=True):
+                if k != held:  # one sequence at a time
+                    own = ids[k].as_buffer()
+                    held, wide = k, np.frombuffer(own, "<u2" if own.size == 2 * total[k] else "<u4").astype("<u4")
+                sums.append(zlib.crc32(wide[a : a + n]))
             yield pa.record_batch(
                 [piece[k] for k in ("id", "piece", "start", "length")] + [pa.array(sums, pa.int64()), batch.column("sequence_id").take(owner), piece["offset"]],
                 ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -102,6 +104,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+def light_bounds(texts: pa.Array, rows: int, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of at most ``rows`` values and ``size`` bytes; a longer value has a slice of its own.
+
+    Working memory follows the bytes at hand, so a batch of very long texts needs no more than one of short ones.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        upto = min(max(upto, at + 1), at + rows, len(ends))
+        yield at, upto
+        at = upto
+
+
+def light_slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` as :func:`light_bounds` cuts its ``column``."""
+    for a, b in light_bounds(batch.column(column), rows, size):
+        yield batch.slice(a, b - a)
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system: workers are kept for later tasks, their heaps with them."""
     pa.default_memory_pool().release_unused()

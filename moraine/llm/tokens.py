@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .storage import light_bounds
+
 #: Marks that may be cut from a word's ends: no mark of the tokenizer's special strings or contractions is among them.
 END_MARKS = r".,;:!?$%&*#()"
 _PARTS = rf"^(?P<head>[{END_MARKS}]*)(?P<core>.*?)(?P<tail>[{END_MARKS}]*)$"
@@ -98,6 +100,13 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's number of ids; a null text has none."""
+        parts = [self._encode(texts.slice(a, b - a)) for a, b in light_bounds(texts, len(texts))]
+        if not parts:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        flat, counts = zip(*parts, strict=True)
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         words = split.flatten().dictionary_encode()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import normal_words
-from .storage import give_back, small_batches, written
+from .storage import give_back, light_slices, small_batches, written
 
 #: Patterns that vote besides the mined lexicons; any text, any language.
 PATTERNS = {
@@ -213,8 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in light_slices(batch, "text", 1000):
                 counts, index, words = normal_words(part.column("text"))
                 owner = np.repeat(np.arange(len(counts)), counts)
                 pairs = np.unique(owner * max(len(words), 1) + index)
@@ -266,8 +265,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1500):
-                part = batch.slice(at, 1500)
+            for part in light_slices(batch, "_text", 1500):
                 s = scores(shared.value, part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
         give_back()
