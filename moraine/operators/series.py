@@ -127,9 +127,12 @@ def chains(pairs: DataFrame, keys: list[str], ref: str = "ref", sec: str = "sec"
     return pairs.withColumn("_s", start).withColumn("chain", F.sum("_s").over(w)).drop("_s")
 
 
-def accumulated(pairs: DataFrame, keys: list[str], value: str, order: str = "ref") -> DataFrame:
-    """Running displacement of a chain; once a difference is missing, every later epoch is NULL."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def accumulated(pairs: DataFrame, keys: list[str], value: str, order: tuple[str, ...] = ("ref",)) -> DataFrame:
+    """Running displacement of a chain; once a difference is missing, every later epoch is NULL.
+
+    Rows without a place in ``order`` come last; of rows at the same place the largest difference comes first and a
+    missing one last, so that the sums do not depend on how the table is stored."""
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in order), F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     whole = F.bool_and(F.col(value).isNotNull()).over(w)
     return pairs.withColumn("cumulative", F.when(whole, F.sum(value).over(w)))
 

@@ -52,3 +52,24 @@ def test_every_epoch(spark, tmp_path):
     spark.createDataFrame([("click", t, float(i * i)) for i, t in enumerate(days)], "event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.epoch for r in S.network_inversion(spark, str(tmp_path)).collect()} == {t.date() for t in days}
     assert S.jackknife_velocity(spark, str(tmp_path)).first().n_pairs == 7 + 6
+
+
+def _cumulative(spark, folder, rows, parts):
+    # one file for each part: how a table is stored differs, its rows do not
+    for i in range(parts):
+        spark.createDataFrame(rows[i::parts], "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_tax double").coalesce(1).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    got = S.cumulative_with_gaps(spark, str(folder)).collect()
+    return sorted(((r.l_orderkey, r.l_linenumber, r.cumulative) for r in got), key=str)
+
+
+def test_unknown_tax_and_keys(spark, tmp_path):
+    rows = [(None, 1, 1, 8.0, 0.0), (1, 1, 1, 1.0, None), (1, None, 1, 2.0, 0.0), (2, 1, 1, 4.0, 0.0), (3, 1, 1, None, 0.0)]
+    want = [(1, 1, 1.0), (1, None, 3.0), (2, 1, 7.0), (3, 1, None), (None, 1, None)]
+    assert _cumulative(spark, tmp_path, rows, 1) == sorted(want, key=str)
+
+
+def test_lines_with_the_same_key(spark, tmp_path):
+    rows = [(1, 1, 1, 5.0, 0.0), (2, 1, 1, 17.0, 0.0), (2, 1, 1, 26.0, 0.0), (3, 1, 1, 1.0, 0.0), (4, 1, 1, 46.0, 0.08), (4, 1, 1, 20.0, 0.0)]
+    want = sorted([(1, 1, 5.0), (2, 1, 31.0), (2, 1, 48.0), (3, 1, 49.0), (4, 1, 69.0), (4, 1, None)], key=str)
+    stored = [rows, rows[::-1], sorted(rows, key=lambda r: r[3])]
+    assert [_cumulative(spark, tmp_path / str(i), r, i + 1) for i, r in enumerate(stored)] == [want] * 3
