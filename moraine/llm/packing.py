@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import together, whole_groups
-from .storage import give_back, new_path, size_of, small_batches, written
+from .storage import PLAIN_FILES, give_back, new_path, size_of, small_batches, written
 from .tokens import default_tokenizer, with_end, word_encoder
 
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids binary, part int, place long"
@@ -167,7 +167,7 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
         path = new_path(spark, "pieces-before")
-        offsets.withColumn("block", F.expr(f"part div {PARTS_A_FILE}")).repartition("block").write.partitionBy("block").parquet(path)
+        offsets.withColumn("block", F.expr(f"part div {PARTS_A_FILE}")).repartition("block").write.options(**PLAIN_FILES).partitionBy("block").parquet(path)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, ranks_before = None, None

@@ -15,6 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+#: Tables of the shared folder, where it is local: Hadoop starts a process to set the mode of each file, of its checksum file and
+#: of each folder, and until that runs its own program the JVM's pages seem to be there twice.  So no checksum files; Parquet's
+#: own checksums of pages are verified instead.  Other file systems ignore the first two options.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
@@ -39,8 +45,8 @@ def written(df: DataFrame, name: str, within: int | None = None, codec: str = "s
     ``within`` is a bound on its bytes, as :func:`size_of` a table it came from gives: see :func:`in_few_files`.
     """
     path = new_path(df.sparkSession, name)
-    in_few_files(df, within).write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    in_few_files(df, within).write.options(**PLAIN_FILES).parquet(path, compression=codec)
+    return df.sparkSession.read.options(**VERIFIED).schema(df.schema).parquet(path)
 
 
 def size_of(table: DataFrame) -> int:
@@ -78,9 +84,9 @@ class Scratch:
 
     def put(self, df: DataFrame, within: int | None = None) -> DataFrame:
         path = new_path(self.spark, self.name)
-        in_few_files(df, within).write.parquet(path)
+        in_few_files(df, within).write.options(**PLAIN_FILES).parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.options(**VERIFIED).schema(df.schema).parquet(path)
 
     def keep_last(self) -> None:
         while len(self.paths) > 1:
