@@ -39,7 +39,6 @@ def test_damaged_page_is_seen(spark):
 
 def test_stages_come_in_few_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(40)
-    docs = written(docs, "many")
     most = 2 * spark.sparkContext.defaultParallelism
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).rdd.getNumPartitions() <= most, name
